@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality_rules, urls
+from . import decontam, html_text, mixing, pii, quality_model, quality_rules, urls
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_urls": urls.op4_urls,
     "op5_decontaminate": decontam.op5_decontaminate,
+    "op6_html_text": html_text.op6_html_text,
+    "op7_pii": pii.op7_pii,
+    "op8_quality_model": quality_model.op8_quality_model,
 }
 
 ORACLE = {
