@@ -15,11 +15,14 @@ from .common import materialize, table
 
 #: Most labelled rows the word list of toxic language is learned from; most documents the scorer is fitted on.
 LEXICON_DOCS, FIT_DOCS = 6000, 6000
-#: Words of that list: least toxic documents, least part of all toxic ones (so that one group of near copies can't
-#: make a word toxic), least share of toxic among the labelled documents that hold it, most words.
-LEXICON_MIN, LEXICON_PART, LEXICON_SHARE, LEXICON_WORDS = 5, 0.05, 0.95, 200
-#: Slots of the scorer, L1 penalty, descent steps, and the score from which a document is rejected.
-SLOTS, PENALTY, STEPS, REJECT = 1 << 18, 2e-4, 300, 0.5
+#: Words of that list: least toxic documents (copies of one beginning count once), least part of all toxic ones, least share of toxic among the labelled documents that hold it, most words.
+LEXICON_MIN, LEXICON_PART, LEXICON_SHARE, LEXICON_WORDS = 5, 0.01, 0.95, 400
+#: Lengths of the word beginnings that stand in the list and the scorer beside whole words, as `begin*`.
+BEGINNINGS = (5, 6, 7)
+#: Slots of the scorer, the first of them for bias and statistics, L1 penalty, descent steps, and the score from which a document is rejected.
+SLOTS, STAT_SLOTS, PENALTY, STEPS, REJECT = 1 << 18, 1 << 12, 1e-4, 400, 0.5
+#: Words in fewer documents of the sample than this, or in more than this part of them, teach nothing.
+RARE, COMMON = 3, 0.3
 EM_ROUNDS = 100
 SYMBOLS = "#*$%&|<>"
 EDGES = re.compile(r"^\W+|\W+$")
@@ -76,32 +79,40 @@ TOXIC = 9
 LABELLERS = len(votes(statistics(""), False))
 
 
-def slots_of(text: str, s: dict[str, float], cache: dict[str, int]) -> list[int]:
-    """Slots of the distinct words and of the statistics, in steps."""
+def forms_of(word: str) -> list[str]:
+    """The word without marks around it, and its beginnings."""
+    w = word if word.isalpha() else EDGES.sub("", word)
+    return [w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)]
+
+
+def slots_of(text: str, s: dict[str, float], voted: str, cache: dict[str, list[int]]) -> list[int]:
+    """Slots of the distinct words, their beginnings, the votes and the statistics, in steps."""
     out = set()
     for w in set(text.lower().split()):
         k = cache.get(w)
         if k is None:
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
-            k = cache[w] = crc32(EDGES.sub("", w).encode("utf-8", "replace")) % SLOTS
-        out.add(k)
+            k = cache[w] = [STAT_SLOTS + crc32(f.encode("utf-8", "replace")) % (SLOTS - STAT_SLOTS) for f in forms_of(w)]
+        out.update(k)
     for name, x in s.items():
         if name != "n":
             step = 0 if x == 0 else 1 + min(9, int(x * 10)) if x >= 0.1 else (1 if x >= 0.03 else 0)
-            out.add(crc32(f"\0{name}:{step}".encode()) % SLOTS)
-    out.add(crc32(b"\0bias") % SLOTS)
+            out.add(1 + crc32(f"{name}:{step}".encode()) % (STAT_SLOTS - 1))
+    out.update(1 + crc32(f"vote {k}:{v}".encode()) % (STAT_SLOTS - 1) for k, v in enumerate(voted))
+    out.add(0)  # the bias
     return sorted(out)
 
 
 def toxic_words(docs: DataFrame, labels: DataFrame, limit: int = LEXICON_DOCS) -> list[str]:
-    """Words that nearly only documents labelled toxic hold, from at most `limit` labelled rows (by id hash)."""
+    """Words and word beginnings that nearly only documents labelled toxic hold, from at most `limit` labelled rows (by id hash)."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     least = max(LEXICON_MIN, LEXICON_PART * (ids.agg(F.sum("toxic")).first()[0] or 0))
-    held = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `limit` rows of two numbers at most
-    words = held.select("toxic", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))).alias("w"))
-    found = words.where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    top = found.where((F.col("t") >= least) & (F.col("t") >= LEXICON_SHARE * F.col("n"))).orderBy(F.desc("t"), "w").limit(LEXICON_WORDS)
+    held = docs.select("doc_id", "text", F.xxhash64(F.substring("text", 1, 60)).alias("copy")).join(F.broadcast(ids), "doc_id")  # `limit` rows of two numbers at most
+    words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))
+    forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))).otherwise(w) for k in BEGINNINGS]))))
+    found = held.select("copy", "toxic", F.explode(forms).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("copy"))).alias("texts"))
+    top = found.where((F.col("texts") >= least) & (F.col("t") >= LEXICON_SHARE * F.col("n"))).orderBy(F.desc("texts"), "w").limit(LEXICON_WORDS)
     return sorted(r["w"] for r in top.collect())
 
 
@@ -147,15 +158,17 @@ def fit_scorer(rows: list[list[int]], target: np.ndarray) -> np.ndarray:
         return w
     at = np.concatenate([np.asarray(r) for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    in_docs = np.bincount(at, minlength=SLOTS)
+    teaches = (in_docs >= RARE) & (in_docs <= COMMON * len(rows))
+    teaches[:STAT_SLOTS] = True
+    at, doc = at[teaches[at]], doc[teaches[at]]
     used, at = np.unique(at, return_inverse=True)
-    size = np.bincount(doc, minlength=len(rows)).astype(float)
-    scale = 1 / np.sqrt(np.maximum(size, 1))[doc] * 10  # rows of near unit length, words as 10 / sqrt(n)
     x, y, t = np.zeros(len(used)), np.zeros(len(used)), 1.0
-    step = 4 * len(rows) / (100.0 * len(rows))
-    bias_free = used == crc32(b"\0bias") % SLOTS
+    step = 4 * len(rows) / len(at)  # the mean squared norm of a row bounds the curvature
+    bias_free = used == 0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=y[at] * scale, minlength=len(rows)), -30, 30)))
-        grad = np.bincount(at, weights=(p - target)[doc] * scale, minlength=len(used)) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=y[at], minlength=len(rows)), -30, 30)))
+        grad = np.bincount(at, weights=(p - target)[doc], minlength=len(used)) / len(rows)
         new = y - step * grad
         new = np.where(bias_free, new, np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -166,7 +179,7 @@ def fit_scorer(rows: list[list[int]], target: np.ndarray) -> np.ndarray:
 
 
 def score_of(slots: list[int], weights: np.ndarray) -> float:
-    return float(1 / (1 + np.exp(-np.clip(weights[slots].sum() * 10 / np.sqrt(max(1, len(slots))), -30, 30))))
+    return float(1 / (1 + np.exp(-np.clip(weights[slots].sum(), -30, 30))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", fit_docs=FIT_DOCS) -> DataFrame:
@@ -181,10 +194,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     lexicon = frozenset(toxic_words(base, labels))
-    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def toxic(text: str) -> bool:
-        return bool(lexicon) and any(w.strip(strip) in lexicon for w in text.lower().split())
+        return bool(lexicon) and any(f in lexicon for w in set(text.lower().split()) for f in forms_of(w))
 
     def voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,12 +212,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     posterior = fit_label_model(patterns)
 
     def sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        cache: dict[str, list[int]] = {}
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             stats = [statistics(t) for t in texts]
+            voted = [votes(s, toxic(t)) for s, t in zip(stats, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([votes(s, toxic(t)) for s, t in zip(stats, texts, strict=True)], pa.string()), pa.array([slots_of(t, s, cache) for s, t in zip(stats, texts, strict=True)], pa.list_(pa.int32()))], ["doc_id", "votes", "slots"]
+                [b.column(0), pa.array(voted, pa.string()), pa.array([slots_of(t, s, v, cache) for t, s, v in zip(texts, stats, voted, strict=True)], pa.list_(pa.int32()))], ["doc_id", "votes", "slots"]
             )
 
     total = voted.count()
@@ -222,13 +235,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(SLOTS, dtype=np.float32)
         w[sparse[0]] = sparse[1]
-        cache: dict[str, int] = {}
+        cache: dict[str, list[int]] = {}
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 s = statistics(t or "")
                 v = votes(s, toxic(t or ""))
-                score = score_of(slots_of(t or "", s, cache), w)
+                score = score_of(slots_of(t or "", s, v, cache), w)
                 out.append((v, posterior.get(v + "-", 0.5), score, bool(s["n"]) and score < REJECT))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], ["doc_id", "votes", "p_bad", "score", "kept"])
 
