@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, mixing, pii, quality_model, quality_rules, urls
+from . import decontam, html_text, mixing, pii, quality_model, quality_rules, suffix_array, suffix_tree, urls
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
@@ -12,10 +12,13 @@ QUERIES = {
     "op6_html_text": html_text.op6_html_text,
     "op7_pii": pii.op7_pii,
     "op8_quality_model": quality_model.op8_quality_model,
+    "op9_suffix_array": suffix_array.op9_suffix_array,
+    "op10_suffix_tree": suffix_tree.op10_suffix_tree,
 }
 
 ORACLE = {
     "op2_mix": mixing.OP2_SQL,
     "op4_urls": urls.OP4_SQL,
     "op5_decontaminate": decontam.OP5_SQL,
+    "op10_suffix_tree": suffix_tree.OP10_SQL,
 }
