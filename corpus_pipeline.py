@@ -1,13 +1,60 @@
-"""Corpus pipeline: stages that each take all documents their predecessor kept."""
+"""Corpus pipeline: stages that each take all documents their predecessor kept.
+
+Every stage but the last returns the columns of documents. Null texts have no words: the quality stage rejects them.
+An empty table passes through every stage. Extra columns of the documents are carried along; the names the stages use
+inside start with two underscores, and a clash with those is the caller's to avoid.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontam, jaccard_join, mixing, pii, quality_model
+
+
+def _matching(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the ids in decided.doc_id, null ids included."""
+    ids = decided.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    judged = common.materialize(quality_model.classify(docs, common.table(spark, sf_dir, "labels")).where("not kept").select("doc_id"), "rejected")
+    return _matching(docs, judged, "left_anti")
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; of rows that repeat, one.
+
+    Near duplicates share 80 % or more of their five-word shingles.
+    """
+    found = jaccard_join.jaccard_join(docs, ngram=5, percent=80)
+    later = common.materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "later")
+    return _matching(docs, later, "left_anti").dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage: any item's window makes a document go."""
+    found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), min_items=1)
+    return _matching(docs, common.materialize(found.where("contaminated").select("doc_id"), "contaminated"), "left_anti")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    return pii.redact_column(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once per copy that the mix takes, with the copy's number."""
+    return mixing.mix(docs)
+
 
-from tidemark.llm import common
+STAGES = [("quality", keep_quality), ("near_duplicates", keep_distinct), ("decontamination", drop_contaminated), ("pii", redact), ("mix", mix)]
 
-STAGES: list = []
-#: The stages learn and iterate, which SQL can't express; tests hold them against brute-force versions.
+#: The first, second and fourth stage learn or iterate, which SQL can't express; tests hold the stages against
+#: brute-force versions.
 ORACLE_SQL = None
 
 

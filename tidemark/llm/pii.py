@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -276,6 +277,23 @@ def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return base.mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string, redacted string")
 
 
+def redact_column(docs: DataFrame, text_col="text", chars_col="n_chars") -> DataFrame:
+    """docs with personal data in text_col replaced, all other columns as they are; chars_col, if there, is recounted.
+
+    Null texts stay null. Columns and their order stay.
+    """
+    potentials = count_potentials(docs.select(F.col(text_col).cast("string").alias("text")))
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact(t, find_spans(t, potentials)[1]) if isinstance(t, str) else None)
+
+    out = docs.withColumn(text_col, cleaned(F.col(text_col)))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return out
+
+
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, mixing, pii, quality_model, quality_rules, suffix_array, suffix_tree, urls
+from . import decontam, html_text, jaccard_join, mixing, pii, quality_model, quality_rules, suffix_array, suffix_tree, urls
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_mix": mixing.op2_mix,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_urls": urls.op4_urls,
