@@ -1 +1 @@
-"""Part of the tidemark engine."""
+"""Column functions."""

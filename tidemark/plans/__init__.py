@@ -1 +1 @@
-"""Part of the tidemark engine."""
+"""Plans over the operators."""

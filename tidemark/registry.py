@@ -2,5 +2,474 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import score as S
+from .functions import signals as G
+from .functions import text as X
+from .operators import cognition as C
+from .operators import graph as GR
+from .operators import ranking as R
+from .operators import store as ST
+from .plans.demo import BASE, EDGES_SQL, ENTRIES_SQL, LOG_SQL, NOW, T1, T2, entries, log, relation_entries, table
+from .sources import crypto, documents
+from .sources import log as L
+from .streaming.capture import candidates
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def _tokens_sql(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), '[a-z0-9_]+'), lambda t: length(t) >= 2 AND t NOT IN ({STOP}))"
+
+
+TOKENS_SQL = f"""{ENTRIES_SQL},
+tok AS (SELECT id, {_tokens_sql("concat_ws(' ', content, array_to_string(tags, ' '))")} AS ts FROM entries),
+dl AS (SELECT id, len(ts) AS len FROM tok),
+post AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(ts) AS token FROM tok) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl),
+q AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id::VARCHAR AS qid, unnest({_tokens_sql("text")}) AS token FROM benchmark) GROUP BY ALL)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def benchmark_queries(spark, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    words = b.select(F.col("item_id").cast("string").alias("qid"), F.explode(X.tokenize(F.lower("text"))).alias("token"))
+    return words.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _index(spark, sf_dir):
+    return R.build_index(entries(spark, sf_dir), nfkc=False)
+
+
+BM25_SQL = """
+s AS (SELECT qid, post.id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) * qtf) AS bm25
+      FROM post JOIN q USING (token) JOIN df USING (token) JOIN dl ON dl.id = post.id CROSS JOIN st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, id) AS rank FROM s)"""
+
+
+@query(f"WITH {TOKENS_SQL}, {BM25_SQL} SELECT qid, id, rank::INT AS rank, round(bm25, 6) AS bm25 FROM r WHERE rank <= 5")
+def r3_bm25_topk(spark, sf_dir):
+    scores = R.bm25(_index(spark, sf_dir), benchmark_queries(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+    return R.top_k(scores, "bm25", 5).select("qid", "id", "rank", "bm25")
+
+
+@query(f"WITH {TOKENS_SQL} SELECT token, df::BIGINT AS df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN st")
+def a1_idf_table(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return i.df.crossJoin(F.broadcast(i.stats)).select("token", "df", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post)::BIGINT AS postings, (SELECT sum(tf) FROM post)::BIGINT AS tokens FROM st")
+def a1_postings_stats(spark, sf_dir):
+    i = _index(spark, sf_dir)
+    return i.stats.withColumn("avgdl", F.round("avgdl", 6)).crossJoin(i.postings.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens")))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, greatest(1, ceil((w + 2 * (length(content) - w)) / 4.0))::BIGINT AS cost FROM (SELECT id, content, length(content) - length(regexp_replace(content, '[A-Za-z0-9_]', '', 'g')) AS w FROM entries)")
+def f6_estimate_tokens(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", X.estimate_tokens(F.col("content")).alias("cost"))
+
+
+@query(
+    f"""WITH {TOKENS_SQL}, f AS (SELECT DISTINCT id, unnest(CASE WHEN length(t) >= 3 THEN list_concat(['^' || left(t, 2)], list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), [right(t, 2) || '$']) ELSE [t] END) AS feature
+    FROM (SELECT id, unnest(ts) AS t FROM tok)) SELECT feature, count(*)::BIGINT AS n FROM f GROUP BY feature"""
+)
+def f7_semantic_features(spark, sf_dir):
+    docs = _index(spark, sf_dir).tokens
+    return docs.select(F.explode(F.array_distinct(X.features_of(F.col("tokens")))).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fnv_sql(text: str, seed: int = 0) -> str:
+    start = (2166136261 ^ seed) & 0xFFFFFFFF
+    return f"list_reduce(list_prepend({start}::BIGINT, list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295)"
+
+
+@query(f"SELECT p_partkey, {_fnv_sql('p_name')} AS h, substr(sha256(p_name), 1, 16) AS content_hash FROM part")
+def f8_fnv1a(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", X.fnv1a(F.col("p_name")).alias("h"), X.content_hash(F.col("p_name")).alias("content_hash"))
+
+
+_FEATURES_SQL = f"""f AS (SELECT DISTINCT item_id, unnest(CASE WHEN length(t) >= 3 THEN list_concat(['^' || left(t, 2)], list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), [right(t, 2) || '$']) ELSE [t] END) AS x
+    FROM (SELECT item_id, unnest({_tokens_sql("text")}) AS t FROM benchmark))"""
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT item_id, " + " || '-' || ".join(f"min({_fnv_sql('x', s)})::VARCHAR" for s in X.MINHASH_SEEDS) + " AS signature FROM f GROUP BY item_id")
+def a7_minhash_signature(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").withColumn("f", F.array_distinct(X.features_of(X.tokenize(F.lower("text")))))
+    return rows.where(F.size("f") > 0).select("item_id", F.array_join(F.transform(R.minhash(F.col("f")), lambda x: x.cast("string")), "-").alias("signature"))
+
+
+_HEAT = f"CASE WHEN access_count <= 0 THEN 1.0 ELSE 1 + 0.1 * ln(1 + access_count) * exp(-greatest(0, {NOW} - last_access_at) / {float(S.HEAT_TAU)}) END"
+_SIG = "CASE kind WHEN 'instruction' THEN 1.25 WHEN 'preference' THEN 1.15 WHEN 'decision' THEN 1.05 WHEN 'fact' THEN 1.0 ELSE 0.95 END * CASE WHEN source = 'explicit' THEN 1.1 ELSE 1.0 END"
+_DECAY = f"CASE WHEN {NOW} - updated_at <= 0 THEN 1.0 ELSE exp(-({NOW} - updated_at) / {float(S.DECAY_TAU)}) END"
+_STRENGTH = "least(4.0, 1 + 3 * (1 - pow(0.5, floor(access_count / 3.0))) + 0.5 * (access_count % 3) * pow(0.5, floor(access_count / 3.0)))"
+_TOUCH = "greatest(coalesce(last_access_at, 0), updated_at, created_at)"
+_RETRIEVE = f"({_STRENGTH}) * exp(-greatest(0, {NOW} - {_TOUCH}) / ({float(S.HEAT_TAU)} * ({_STRENGTH})))"
+
+
+@query(
+    f"""WITH {ENTRIES_SQL} SELECT id, round({_DECAY}, 9) AS decay, round({_HEAT}, 9) AS heat, round(({_SIG})::DOUBLE, 9) AS significance,
+    round(({_DECAY}) * ({_HEAT}) * ({_SIG}) * CASE WHEN superseded THEN 0.5 ELSE 1.0 END, 9) AS line_base, round(({_STRENGTH})::DOUBLE, 9) AS strength, round({_RETRIEVE}, 9) AS retrievability FROM entries"""
+)
+def f36_line_base(spark, sf_dir):
+    r = lambda c: F.round(c, 9)
+    return entries(spark, sf_dir).select(
+        "id", r(S.decay(F.col("updated_at"), NOW)).alias("decay"), r(S.heat(F.col("access_count"), F.col("last_access_at"), NOW)).alias("heat"), r(S.significance(F.col("kind"), F.col("source"))).alias("significance"),
+        r(R.line_base(NOW, R.RecallOptions())).alias("line_base"), r(S.strength(F.col("access_count"))).alias("strength"), r(S.retrievability(NOW)).alias("retrievability"),
+    )
+
+
+@query(
+    f"""WITH {TOKENS_SQL}, w AS (SELECT id, token, (1 + ln(tf)) * ln(1 + n / df) AS w FROM post JOIN df USING (token) CROSS JOIN st),
+    nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id),
+    qw AS (SELECT qid, token, (1 + ln(qtf)) * CASE WHEN df IS NULL THEN ln(1 + n) ELSE ln(1 + n / df) END AS qw FROM q LEFT JOIN df USING (token) CROSS JOIN st),
+    qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY qid),
+    s AS (SELECT qid, id, round(sum(w * qw) / (any_value(norm) * any_value(qnorm)), 6) AS cosine FROM w JOIN qw USING (token) JOIN nm USING (id) JOIN qn USING (qid) GROUP BY qid, id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s WHERE cosine > 0) SELECT qid, id, rank::INT AS rank, cosine FROM r WHERE rank <= 5"""
+)
+def r9_vector_topk(spark, sf_dir):
+    scores = R.vector_scores(_index(spark, sf_dir), benchmark_queries(spark, sf_dir)).withColumn("cosine", F.round("cosine", 6)).where("cosine > 0")
+    return R.top_k(scores, "cosine", 5).select("qid", "id", "rank", "cosine")
+
+
+#: A question of the shape users ask, in words of the documents.
+QUESTION = "thntble eratin of the ndtion thwhst onreti"
+
+
+@query()
+def r2_recall(spark, sf_dir):
+    return R.recall(entries(spark, sf_dir), QUESTION, NOW, R.RecallOptions(limit=20, max_tokens=20_000), vector=True, nfkc=False).select("id", "rank", F.round("score", 6).alias("score"), "superseded")
+
+
+@query()
+def r11_recall_rrf(spark, sf_dir):
+    return R.recall(entries(spark, sf_dir), QUESTION, NOW, R.RecallOptions(limit=20, max_tokens=20_000, fusion="rrf"), vector=True, nfkc=False).select("id", "rank", F.round("score", 6).alias("score"), "why.*")
+
+
+_QF = ", ".join(f"'{f}'" for f in R.query_features(R.query_tokens(QUESTION)))
+
+
+@query(
+    f"""WITH {TOKENS_SQL}, f AS (SELECT id, list_distinct(flatten(list_transform(ts, lambda t: CASE WHEN length(t) >= 3 THEN list_concat(['^' || left(t, 2)], list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), [right(t, 2) || '$']) ELSE [t] END))) AS f FROM tok)
+    SELECT id, round(len(list_intersect(f, [{_QF}])) / len([{_QF}]), 6) AS coverage FROM f"""
+)
+def r5_coverage(spark, sf_dir):
+    return R.coverage(_index(spark, sf_dir), R.query_tokens(QUESTION)).select("id", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def r6_prescreen(spark, sf_dir):
+    return R.coverage(_index(spark, sf_dir), R.query_tokens(QUESTION)).groupBy("screened").agg(F.count(F.lit(1)).alias("n"))
+
+
+_VARIANTS = sorted({v for w in {t for t in R.query_tokens("stble ther")} for v in X.fuzzy_variants(w) if v not in X.STOP_WORDS})
+
+
+@query(
+    f"""WITH {TOKENS_SQL} SELECT post.id AS id, round(sum(0.5 * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)))), 6) AS fuzzy
+    FROM post JOIN df USING (token) JOIN dl ON dl.id = post.id CROSS JOIN st WHERE token IN ({", ".join(f"'{v}'" for v in _VARIANTS)}) GROUP BY post.id"""
+)
+def r4_fuzzy(spark, sf_dir):
+    return R.fuzzy(_index(spark, sf_dir), R.query_tokens("stble ther")).withColumn("fuzzy", F.round("fuzzy", 6))
+
+
+_RANKED = "rn AS (SELECT id, cost, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM (SELECT *, greatest(1, ceil((w + 2 * (length(content) - w)) / 4.0))::BIGINT AS cost FROM (SELECT *, length(content) - length(regexp_replace(content, '[A-Za-z0-9_]', '', 'g')) AS w FROM entries)))"
+
+
+@query(
+    f"""WITH RECURSIVE {ENTRIES_SQL}, {_RANKED}, fold AS (
+    SELECT 1 AS rank, 1 AS taken, cost AS used, id AS got FROM rn WHERE rank = 1
+    UNION ALL SELECT rn.rank, CASE WHEN ok THEN taken + 1 ELSE taken END, CASE WHEN ok THEN used + cost ELSE used END, CASE WHEN ok THEN rn.id END
+    FROM (SELECT rn.rank, rn.id, rn.cost, f.taken, f.used, f.taken < 50 AND f.used + rn.cost <= 9000 AS ok FROM fold f JOIN rn ON rn.rank = f.rank + 1) rn)
+    SELECT got AS id, taken::INT AS place FROM fold WHERE got IS NOT NULL"""
+)
+def r13_token_budget(spark, sf_dir):
+    # a cost is 1 or more, so no more than the budget's hits can fit
+    e = entries(spark, sf_dir).select(F.lit("q").alias("qid"), "id", "created_at", X.estimate_tokens(F.col("content")).alias("cost"))
+    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("created_at"), "id"))).where("rank <= 9050")
+    return R.fill_budget(ranked, 50, 9000).select("id", "place")
+
+
+@query(
+    f"""WITH {TOKENS_SQL}, {BM25_SQL}, h AS (SELECT qid, id, rank FROM r WHERE rank <= 5), rel AS (SELECT item_id::VARCHAR AS qid, id FROM benchmark, entries WHERE split_part(id, '-', 2)::BIGINT % 97 = item_id % 97),
+    j AS (SELECT rel.qid, h.rank FROM rel LEFT JOIN h USING (qid, id)), a AS (SELECT qid, count(*) AS n, count(rank) AS found, min(rank) AS first, sum(CASE WHEN rank IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM j GROUP BY qid)
+    SELECT qid, round(found / n, 6) AS recall, round(coalesce(1 / first, 0.0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM a"""
+)
+def a15_retrieval_metrics(spark, sf_dir):
+    hits = r3_bm25_topk(spark, sf_dir)
+    ids = entries(spark, sf_dir).select("id", (F.substring_index("id", "-", -1).cast("long") % 97).alias("m"))
+    relevant = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), (F.col("item_id") % 97).alias("m")).join(ids, "m")
+    return R.retrieval_metrics(hits, relevant, 5).select("qid", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+LIVE_SQL = "last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM {src})"
+
+
+@query(f"WITH {LOG_SQL}, {LIVE_SQL.format(src='log')} SELECT id, content, updated_at, access_count::BIGINT AS access_count FROM last WHERE rn = 1 AND op = 'E'")
+def w1_live(spark, sf_dir):
+    return L.live(log(spark, sf_dir)).select("id", "content", "updated_at", "access_count")
+
+
+def _as_of_sql(t: int, name: str) -> str:
+    return f"{name}_v AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM log WHERE (op = 'E' AND updated_at <= {t} AND (last_access_at IS NULL OR last_access_at <= {t})) OR (op = 'T' AND at_ms <= {t})), {name} AS (SELECT * FROM {name}_v WHERE rn = 1 AND op = 'E')"
+
+
+@query(f"WITH {LOG_SQL}, {_as_of_sql(T1, 'a')} SELECT id, content, updated_at, access_count::BIGINT AS access_count FROM a")
+def w2_as_of(spark, sf_dir):
+    return L.as_of(log(spark, sf_dir), T1).select("id", "content", "updated_at", "access_count")
+
+
+@query(
+    f"""WITH {LOG_SQL}, {_as_of_sql(T1, 'a')}, {_as_of_sql(T2, 'b')} SELECT CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change_type, coalesce(b.id, a.id) AS id, 'fact' AS kind,
+    coalesce(b.content, a.content) AS title, CASE WHEN a.id IS NULL OR b.id IS NULL THEN NULL WHEN a.content <> b.content THEN 'content' WHEN a.access_count <> b.access_count OR a.last_access_at IS DISTINCT FROM b.last_access_at THEN 'heat' ELSE 'other' END AS change
+    FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.content <> b.content OR a.updated_at <> b.updated_at OR a.access_count <> b.access_count OR a.last_access_at IS DISTINCT FROM b.last_access_at"""
+)
+def j16_replay_diff(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    return L.diff(L.as_of(rows, T1), L.as_of(rows, T2))
+
+
+_EVENTS_SQL = """ev AS (SELECT *, CASE WHEN op = 'T' THEN CASE WHEN p = 'E' THEN 'removed' END WHEN p IS NULL OR p = 'T' THEN 'added' WHEN pc <> content THEN 'updated' ELSE 'heat' END AS event,
+    strftime(epoch_ms(coalesce(at_ms, greatest(updated_at, last_access_at))), '%Y-%m-%d') AS day FROM (SELECT *, lag(op) OVER w AS p, lag(content) OVER w AS pc FROM log WINDOW w AS (PARTITION BY id ORDER BY seq))),
+days AS (SELECT day, count(*) FILTER (event = 'added') AS added, count(*) FILTER (event = 'removed') AS removed, count(*) FILTER (event = 'updated') AS updated, count(*) FILTER (event = 'heat') AS heat FROM ev WHERE event IS NOT NULL GROUP BY day)"""
+
+
+@query(
+    f"""WITH RECURSIVE {LOG_SQL}, {_EVENTS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY day) AS k FROM days),
+    fold AS (SELECT k, greatest(0, added - removed) AS total FROM n WHERE k = 1 UNION ALL SELECT n.k, greatest(0, total + added - removed) FROM fold JOIN n ON n.k = fold.k + 1)
+    SELECT day, added, removed, updated, heat, total::BIGINT AS total FROM n JOIN fold USING (k) ORDER BY day DESC LIMIT 31"""
+)
+def w3_timeline(spark, sf_dir):
+    return L.timeline(log(spark, sf_dir))
+
+
+@query(f"WITH {LOG_SQL}, {LIVE_SQL.format(src='log')} SELECT (SELECT count(*) FROM log)::BIGINT AS lines, 0::BIGINT AS corrupt, (SELECT count(*) FROM log WHERE op = 'T')::BIGINT AS tombstones, (SELECT max(seq) FROM log) AS revision, count(*)::BIGINT AS entries, round((SELECT count(*) FROM log) / count(*) - 1, 6) AS duplicate_ratio FROM last WHERE rn = 1 AND op = 'E'")
+def k13_log_stats(spark, sf_dir):
+    return L.log_stats(log(spark, sf_dir)).withColumn("duplicate_ratio", F.round("duplicate_ratio", 6))
+
+
+@query(f"WITH {LOG_SQL}, {LIVE_SQL.format(src='log')} SELECT id, content, row_number() OVER (ORDER BY created_at, o) - 1 AS seq FROM last JOIN (SELECT l.id, min(l.seq) AS o FROM log l LEFT JOIN (SELECT id, max(seq) AS g FROM log WHERE op = 'T' GROUP BY id) t USING (id) WHERE l.op = 'E' AND l.seq > coalesce(g, -1) GROUP BY l.id) USING (id) WHERE rn = 1 AND op = 'E'")
+def k6_compact(spark, sf_dir):
+    return ST.compact(log(spark, sf_dir)).select("id", "content", "seq")
+
+
+@query(f"WITH {LOG_SQL}, {LIVE_SQL.format(src='log')} SELECT id, 'T' AS op, {NOW}::BIGINT AS at FROM last WHERE rn = 1 AND op = 'E' AND id LIKE 'u1%'")
+def k3_remove(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    return ST.remove(rows, rows.where(F.col("id").startswith("u1")).select("id"), NOW).select("id", "op", "at")
+
+
+@query(f"WITH {LOG_SQL}, {LIVE_SQL.format(src='log')} SELECT 'u' || c_custkey AS id, c_mktsegment AS content FROM customer WHERE 'u' || c_custkey NOT IN (SELECT id FROM last WHERE rn = 1 AND op = 'E')")
+def k4_insert_new(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("content"), F.lit("fact").alias("kind"), F.array().cast("array<string>").alias("tags"), F.lit("auto").alias("source"))
+    made = c.withColumns({"session_id": F.lit(None).cast("string"), "workspace": F.lit(None).cast("string"), "created_at": F.lit(NOW).cast("long"), "updated_at": F.lit(NOW).cast("long"), "access_count": F.lit(0).cast("long"), "last_access_at": F.lit(None).cast("long")})
+    return ST.insert_new(log(spark, sf_dir), made).select("id", "content")
+
+
+@query(
+    f"WITH {ENTRIES_SQL} SELECT count(*)::BIGINT AS total, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS kind_{k}" for k in ("decision", "fact", "preference", "instruction", "generic"))
+    + ", count(*) FILTER (source = 'auto')::BIGINT AS source_auto, count(*) FILTER (source = 'explicit')::BIGINT AS source_explicit, min(created_at) AS oldest_at, max(created_at) AS newest_at, count(*) FILTER (superseded)::BIGINT AS superseded FROM entries"
+)
+def a3_summarize(spark, sf_dir):
+    return ST.summarize(entries(spark, sf_dir))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT count(*) FILTER (h)::BIGINT AS hot, count(*) FILTER (NOT h)::BIGINT AS cold FROM (SELECT NOT superseded AND (access_count > 0 OR greatest(created_at, updated_at) >= {NOW - 7 * S.DAY}) AS h FROM entries)")
+def p14_hot_cold(spark, sf_dir):
+    return ST.hot_cold(entries(spark, sf_dir), NOW)
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id FROM entries WHERE {NOW} - {_TOUCH} > {380 * S.DAY}")
+def p8_ttl_expired(spark, sf_dir):
+    return ST.expired(entries(spark, sf_dir), NOW, 380).select("id")
+
+
+@query(f"WITH {ENTRIES_SQL}, v AS (SELECT *, ({_SIG}) * ({_HEAT}) AS value FROM entries WHERE kind <> 'instruction') SELECT id FROM v ORDER BY superseded DESC, value, id LIMIT (SELECT greatest(0, count(*) - 500) FROM entries)")
+def o4_evict(spark, sf_dir):
+    return ST.evict(entries(spark, sf_dir), 500, NOW).select("id")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id FROM entries WHERE (workspace IS NULL OR workspace = '' OR workspace = 'w1') AND kind = 'fact' AND list_contains(tags, 'en')")
+def p1_filters(spark, sf_dir):
+    return ST.workspace_filter(entries(spark, sf_dir), "w1").where((F.col("kind") == "fact") & F.array_contains("tags", "en")).select("id")
+
+
+@query(f"WITH {ENTRIES_SQL}, h AS (SELECT *, count(*) OVER (PARTITION BY content) AS copies, first_value(id) OVER (PARTITION BY content ORDER BY created_at, id) AS first FROM entries) SELECT id, first, copies::BIGINT AS copies FROM h WHERE copies > 1 AND id <> first")
+def j6_exact_duplicates(spark, sf_dir):
+    return C.exact_duplicates(entries(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, t AS (SELECT id, content, list_distinct({_tokens_sql("content")}) AS ts FROM entries), x AS (SELECT id, len(ts) AS n, unnest(ts) AS token FROM t),
+    p AS (SELECT a.id AS a_id, b.id AS b_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM x a JOIN x b ON a.token = b.token AND a.id < b.id GROUP BY ALL),
+    far AS (SELECT a_id, b_id, j AS similarity FROM p JOIN t a ON a.id = a_id JOIN t b ON b.id = b_id WHERE greatest(length(a.content), length(b.content)) > 300 AND j > 0.92),
+    near AS (SELECT a.id AS a_id, b.id AS b_id, 1 - levenshtein(a.content, b.content) / greatest(length(a.content), length(b.content)) AS similarity FROM t a JOIN t b ON a.id < b.id AND abs(length(a.content) - length(b.content)) <= 0.08 * greatest(length(a.content), length(b.content)) + 1
+      WHERE length(a.content) <= 300 AND length(b.content) <= 300 AND length(a.content) > 0 AND length(b.content) > 0)
+    SELECT a_id, b_id, round(similarity, 6) AS similarity FROM (SELECT * FROM far UNION ALL SELECT * FROM near WHERE similarity > 0.92)"""
+)
+def j7_near_duplicates(spark, sf_dir):
+    e = C.normalized(entries(spark, sf_dir), nfkc=False)
+    return C.near_duplicates(e, e).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in G.SENSITIVE))
+def p9_sensitive(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(G.is_sensitive(F.lower("text"))).select("doc_id")
+
+
+_TURN = "CASE turn % 4 WHEN 0 THEN 'Remember: ' || text WHEN 1 THEN 'always ' || text WHEN 2 THEN 'please avoid, I prefer ' || text ELSE text END"
+
+
+def _messages(spark, sf_dir):
+    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Remember: "), "text")).when(F.col("turn") % 4 == 1, F.concat(F.lit("always "), "text")).when(F.col("turn") % 4 == 2, F.concat(F.lit("please avoid, I prefer "), "text")).otherwise(F.col("text"))
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, sf_dir, "conversations").select(key.alias("event_seq"), F.timestamp_millis(F.lit(BASE) + key).alias("ts"), F.lit("session").alias("source"), "role", F.lit(None).cast("string").alias("tool_name"), F.lit(False).alias("is_error"), F.lit(None).cast("string").alias("workspace"), said.alias("text"))
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id * 1000 + turn AS event_seq, turn % 4 AS k, {_TURN} AS t FROM conversations WHERE role = 'user')
+    SELECT event_seq, 'preference' AS kind, CASE k WHEN 0 THEN trim(t) WHEN 1 THEN trim(substr(t, 1, 126)) ELSE trim(substr(t, 1, 142)) END AS content, CASE k WHEN 0 THEN 'explicit' ELSE 'auto' END AS tag FROM m WHERE k < 3"""
+)
+def m9_capture_user(spark, sf_dir):
+    found = candidates(_messages(spark, sf_dir), nfkc=False)
+    return found.select("event_seq", "kind", "content", F.get("tags", F.lit(0)).alias("tag"))
+
+
+@query(r"SELECT doc_id::VARCHAR AS label, 0 AS block_no, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')) AS block FROM documents")
+def s7_split_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("label"), "text")
+    return documents.split_document(docs)
+
+
+def _session_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    text = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    user = F.to_json(F.struct(F.lit("user/message").alias("type"), F.struct(text.alias("content")).alias("data")))
+    other = F.to_json(F.struct(F.concat("role", F.lit("/message")).alias("type"), F.struct(F.struct(text.alias("content")).alias("message")).alias("data")))
+    return c.select(F.col("conv_id").cast("string").alias("label"), F.col("turn").alias("line_no"), F.when(F.col("role") == "user", user).otherwise(other).alias("line"))
+
+
+@query("SELECT conv_id::VARCHAR AS label, turn AS line_no, CASE WHEN role IN ('user', 'assistant') THEN 'text' ELSE 'unhandled' END AS status, CASE WHEN role IN ('user', 'assistant') THEN role = 'user' END AS is_user, CASE WHEN role IN ('user', 'assistant') THEN text END AS text FROM conversations")
+def s8_session_text(spark, sf_dir):
+    return documents.session_text(_session_lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, b AS (SELECT DISTINCT trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')) AS k FROM documents), s AS (SELECT text AS k FROM conversations WHERE role IN ('user', 'assistant')),
+    u AS (SELECT DISTINCT k FROM (SELECT k FROM b UNION ALL SELECT trim(k) FROM s) WHERE length(substr(k, 1, 1000)) >= 8), j AS (SELECT substr(k, 1, 1000) AS c FROM u),
+    sh AS (SELECT count(*) AS n FROM (SELECT trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), ' ')) AS k FROM documents UNION ALL SELECT trim(k) FROM s) WHERE length(k) < 8),
+    f AS (SELECT {" OR ".join(f"regexp_matches(lower(c), '{p.replace(chr(39), chr(39) * 2)}')" for p in G.SENSITIVE)} AS sensitive FROM j)
+    SELECT (count(*) + any_value(sh.n))::BIGINT AS total, count(*) FILTER (NOT sensitive)::BIGINT AS imported, any_value(sh.n)::BIGINT AS short, count(*) FILTER (sensitive)::BIGINT AS sensitive, 0::BIGINT AS duplicate FROM f, sh"""
+)
+def m7_import_stats(spark, sf_dir):
+    nothing = spark.createDataFrame([], "content_hash string")
+    return documents.plan_import(s7_split_document(spark, sf_dir), documents.session_text(_session_lines(spark, sf_dir)), nothing, NOW, nfkc=False)[1]
+
+
+@query(f"WITH {EDGES_SQL} SELECT src, relation, dst, occurred_at, invalid_at, ids FROM edges")
+def g4_graph_edges(spark, sf_dir):
+    return _edges(spark, sf_dir).select("src", "relation", "dst", "occurred_at", "invalid_at", F.array_join("entry_ids", ",").alias("ids"))
+
+
+def _edges(spark, sf_dir):
+    return GR.build_edges(GR.triples(relation_entries(spark, sf_dir), nfkc=False))
+
+
+@query(f"WITH {EDGES_SQL} SELECT count(*)::BIGINT AS edges, count(*) FILTER (invalid_at IS NULL)::BIGINT AS active_edges, count(DISTINCT src)::BIGINT AS entities FROM edges")
+def g15_graph_stats(spark, sf_dir):
+    return GR.graph_stats(_edges(spark, sf_dir), NOW)
+
+
+_NEAR = """deg AS (SELECT src, count(*) AS degree FROM edges GROUP BY src), act AS (SELECT src, dst FROM edges WHERE invalid_at IS NULL), seed AS (SELECT lower(r_name) AS e FROM region),
+h1 AS (SELECT dst, 1 / (1 + ln(1 + 1 + degree - 1)) AS s FROM act JOIN seed ON src = e JOIN deg USING (src)),
+f1 AS (SELECT DISTINCT dst AS e FROM h1 WHERE dst NOT IN (SELECT e FROM seed)), h2 AS (SELECT act.dst, pow(2, -1.4) / (1 + ln(1 + degree)) AS s FROM act JOIN f1 ON act.src = e JOIN deg USING (src)),
+sc AS (SELECT e AS entity, sum(s) AS score FROM (SELECT e, 1.0 AS s FROM seed UNION ALL SELECT dst, s FROM h1 UNION ALL SELECT dst, s FROM h2) GROUP BY e)"""
+
+
+@query(f"WITH {EDGES_SQL}, {_NEAR} SELECT entity, round(score, 6) AS score FROM sc")
+def g6_neighbors(spark, sf_dir):
+    seeds = table(spark, sf_dir, "region").select(F.lower("r_name").alias("entity"))
+    return GR.neighbors(_edges(spark, sf_dir), seeds, NOW).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {EDGES_SQL}, {_NEAR}, men AS (SELECT DISTINCT src AS entity, unnest(string_split(ids, ',')) AS id FROM edges) SELECT men.id AS id, round(sum(score * exp(-greatest(0, {NOW} - t) / {float(S.DAY * 90)})), 6) AS score FROM men JOIN sc USING (entity) JOIN facts ON facts.id = men.id GROUP BY men.id")
+def r7_graph_line(spark, sf_dir):
+    e = relation_entries(spark, sf_dir)
+    edges = GR.build_edges(GR.triples(e, nfkc=False))
+    seeds = table(spark, sf_dir, "region").select(F.lower("r_name").alias("entity"))
+    return GR.entity_line(GR.neighbors(edges, seeds, NOW), edges, e, NOW).withColumn("score", F.round("score", 6))
+
+
+@query()
+def g8_infer_chains(spark, sf_dir):
+    seeds = table(spark, sf_dir, "region").select(F.lower("r_name").alias("entity"))
+    return GR.infer_chains(_edges(spark, sf_dir), seeds, NOW).select("terminal", F.round("score", 6).alias("score"), "hops")
+
+
+@query(f"WITH {EDGES_SQL} SELECT 'added' AS side, src, relation, dst FROM edges WHERE relation NOT LIKE '~%' AND occurred_at > {BASE + 600_000} AND invalid_at IS NULL UNION ALL SELECT 'removed', src, relation, dst FROM edges WHERE false")
+def g14_graph_diff(spark, sf_dir):
+    e = relation_entries(spark, sf_dir)
+    early, late = BASE + 600_000, NOW
+    before = GR.build_edges(GR.triples(e.where(F.col("updated_at") <= early), nfkc=False))
+    return GR.graph_diff(before, GR.build_edges(GR.triples(e, nfkc=False)), early, late)
+
+
+@query()
+def c1_theme_clusters(spark, sf_dir):
+    return C.theme_clusters(entries(spark, sf_dir), hub=8, nfkc=False)[1].select("theme_id", "label", "member_count", "top_kinds")
+
+
+@query()
+def c2_distill(spark, sf_dir):
+    return C.distill(entries(spark, sf_dir), NOW, hub=8, nfkc=False)[0].select("id", "kind", "content")
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, r AS (SELECT {_STRENGTH} AS strength, {_RETRIEVE} AS r, ({_SIG}) >= 1.05 AS sig FROM entries)
+    SELECT count(*)::BIGINT AS n, count(*) FILTER (sig AND r < 0.4)::BIGINT AS due, round(avg(strength), 3) AS mean_strength, round(quantile_disc(r, 0.5), 9) AS median_retrievability, round(min(r), 9) AS least_retrievability FROM r"""
+)
+def a4_consolidation(spark, sf_dir):
+    r = lambda c: F.round(c, 9).alias(c)
+    return C.summarize_consolidation(entries(spark, sf_dir), NOW).select("n", "due", "mean_strength", r("median_retrievability"), r("least_retrievability"))
+
+
+@query(f"WITH {ENTRIES_SQL}, p AS (SELECT id, updated_at, string_split(t, ':')[2] AS peer FROM (SELECT id, updated_at, unnest(tags) AS t FROM entries) WHERE t LIKE 'superseded-by:%') SELECT id AS older_id, peer AS newer_id, (SELECT e.updated_at FROM entries e WHERE e.id = peer) AS updated_at FROM p WHERE peer IN (SELECT id FROM entries)")
+def j11_conflict_pairs(spark, sf_dir):
+    turned = entries(spark, sf_dir).withColumn("tags", F.transform("tags", lambda t: F.regexp_replace(t, "^superseded-by:", "conflict-of:")))
+    return C.conflict_pairs(turned).select("older_id", "newer_id", "updated_at")
+
+
+_KEY = bytes(range(32))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, content FROM entries")
+def s5_envelope_roundtrip(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", crypto.decode_line(crypto.encode_line(F.col("content"), _KEY, F.unhex(F.substring(F.md5("id"), 1, 24))), _KEY).alias("content"))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, superseded AS is_superseded, CASE WHEN superseded THEN 'm-' || (split_part(id, '-', 2)::BIGINT + 1) END AS successor FROM entries")
+def p5_tag_protocol(spark, sf_dir):
+    from .schema import with_protocol
+
+    return with_protocol(entries(spark, sf_dir)).select("id", "is_superseded", F.get("superseded_by", F.lit(0)).alias("successor"))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN length(l) > 24 THEN substr(l, 1, 24) || '…' ELSE l END AS title FROM (SELECT id, trim(regexp_replace(coalesce(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1], ''), '\\s+', ' ', 'g')) AS l FROM entries)")
+def p19_diff_title(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", X.diff_title(F.col("content")).alias("title"))
