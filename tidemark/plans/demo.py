@@ -64,9 +64,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_SQL = f"""log AS (
   SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'T' ELSE 'E' END AS op, 'u' || user_id AS id,
          CASE WHEN event_type <> 'error' THEN 'bought for ' || floor(value / 50)::BIGINT END AS content,
-         CASE WHEN event_type = 'view' THEN epoch_ms(ts) - 1000 WHEN event_type <> 'error' THEN epoch_ms(ts) END AS updated_at,
+         CASE WHEN event_type = 'view' THEN (epoch_us(ts) // 1000) - 1000 WHEN event_type <> 'error' THEN (epoch_us(ts) // 1000) END AS updated_at,
          CASE WHEN event_type = 'view' THEN 1 WHEN event_type <> 'error' THEN 0 END AS access_count,
-         CASE WHEN event_type = 'view' THEN epoch_ms(ts) END AS last_access_at, CASE WHEN event_type = 'error' THEN epoch_ms(ts) END AS at_ms,
+         CASE WHEN event_type = 'view' THEN (epoch_us(ts) // 1000) END AS last_access_at, CASE WHEN event_type = 'error' THEN (epoch_us(ts) // 1000) END AS at_ms,
          {BASE} AS created_at FROM events)"""
 
 
