@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -37,18 +39,17 @@ def statistics(text: str) -> dict[str, float]:
     n = max(1, len(words))
     chars = max(1, sum(map(len, words)))
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(w.isupper() and len(w) > 1 for w in words)
     return {
         "n": len(words),
-        "symbols": sum(text.count(c) for c in SYMBOLS) / chars,
-        "upper": upper / n,
-        "again": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "symbols": sum(map(text.count, SYMBOLS)) / chars,
+        "upper": sum(map(str.isupper, words)) / n,
+        "again": sum(map(eq, words, words[1:])) / n,
         "dup": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "bars": words.count("|") / n,
         "marks": (text.count("!") + text.count("?")) / n,
         "distinct": len(set(words)) / n,
-        "sentences": sum(text.count(c) for c in ".!?") / n,
-        "digits": sum(c.isdigit() for w in words if not w.isalpha() for c in w) / chars,
+        "sentences": sum(map(text.count, ".!?")) / n,
+        "digits": sum(map(text.count, "0123456789")) / chars,
     }
 
 
@@ -85,16 +86,27 @@ def forms_of(word: str) -> list[str]:
     return [w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)]
 
 
-def slots_of(text: str, s: dict[str, float], voted: str, cache: dict[str, list[int]]) -> list[int]:
+class PerWord(dict):
+    """What `value` says of a word, kept while there are not too many words."""
+
+    def __init__(self, value: Callable, limit: int = 300_000):
+        super().__init__()
+        self.value, self.limit = value, limit
+
+    def __missing__(self, word: str):
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[word] = self.value(word)
+        return out
+
+
+def word_slots(word: str) -> tuple[int, ...]:
+    return tuple(STAT_SLOTS + crc32(f.encode("utf-8", "replace")) % (SLOTS - STAT_SLOTS) for f in forms_of(word))
+
+
+def slots_of(text: str, s: dict[str, float], voted: str, per_word: PerWord) -> list[int]:
     """Slots of the distinct words, their beginnings, the votes and the statistics, in steps."""
-    out = set()
-    for w in set(text.lower().split()):
-        k = cache.get(w)
-        if k is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            k = cache[w] = [STAT_SLOTS + crc32(f.encode("utf-8", "replace")) % (SLOTS - STAT_SLOTS) for f in forms_of(w)]
-        out.update(k)
+    out = set(chain.from_iterable(map(per_word.__getitem__, set(text.lower().split()))))
     for name, x in s.items():
         if name != "n":
             step = 0 if x == 0 else 1 + min(9, int(x * 10)) if x >= 0.1 else (1 if x >= 0.03 else 0)
@@ -151,24 +163,24 @@ def fit_label_model(patterns: list[tuple[str, int]]) -> dict[str, float]:
     return {p: float(1 - v) for (p, _), v in zip(patterns, post[:, 0], strict=True)}
 
 
-def fit_scorer(rows: list[list[int]], target: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer with an L1 penalty, by accelerated proximal descent."""
-    w = np.zeros(SLOTS)
+def fit_scorer(at: np.ndarray, sizes: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Weights of a logistic scorer with an L1 penalty, by accelerated proximal descent. at: the slots of all rows, one
+    after the other; sizes: how many each row has."""
+    w, rows = np.zeros(SLOTS), len(sizes)
     if not rows:
         return w
-    at = np.concatenate([np.asarray(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    doc = np.repeat(np.arange(rows, dtype=np.int32), sizes)
     in_docs = np.bincount(at, minlength=SLOTS)
-    teaches = (in_docs >= RARE) & (in_docs <= COMMON * len(rows))
+    teaches = (in_docs >= RARE) & (in_docs <= COMMON * rows)
     teaches[:STAT_SLOTS] = True
     at, doc = at[teaches[at]], doc[teaches[at]]
     used, at = np.unique(at, return_inverse=True)
     x, y, t = np.zeros(len(used)), np.zeros(len(used)), 1.0
-    step = 4 * len(rows) / len(at)  # the mean squared norm of a row bounds the curvature
+    step = 4 * rows / len(at)  # the mean squared norm of a row bounds the curvature
     bias_free = used == 0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=y[at], minlength=len(rows)), -30, 30)))
-        grad = np.bincount(at, weights=(p - target)[doc], minlength=len(used)) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=y[at], minlength=rows), -30, 30)))
+        grad = np.bincount(at, weights=(p - target)[doc], minlength=len(used)) / rows
         new = y - step * grad
         new = np.where(bias_free, new, np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -195,10 +207,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     lexicon = frozenset(toxic_words(base, labels))
 
-    def toxic(text: str) -> bool:
-        return bool(lexicon) and any(f in lexicon for w in set(text.lower().split()) for f in forms_of(w))
+    def toxic_reader() -> Callable[[str], bool]:
+        listed = PerWord(lambda w: any(f in lexicon for f in forms_of(w)))
+        return lambda text: bool(lexicon) and any(map(listed.__getitem__, set(text.lower().split())))
 
     def voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = toxic_reader()
         for b in batches:
             out = [votes(statistics(t or ""), toxic(t or "")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "votes"])
@@ -212,7 +226,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     posterior = fit_label_model(patterns)
 
     def sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
+        toxic, cache = toxic_reader(), PerWord(word_slots)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             stats = [statistics(t) for t in texts]
@@ -224,18 +238,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     total = voted.count()
     part = min(1.0, fit_docs / max(1, total))
     chosen = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)).limit(2 * fit_docs)
-    rows = chosen.mapInArrow(sampling, "doc_id long, votes string, slots array<int>").join(gold, "doc_id", "left").collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["votes"]))
+    sampled = chosen.mapInArrow(sampling, "doc_id long, votes string, slots array<int>").join(gold, "doc_id", "left").toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     # a pattern with a label unseen so far falls back to the one without
-    target = np.array([posterior.get(r["votes"] + (r["gold"] or "-"), posterior.get(r["votes"] + "-", 0.5)) for r in rows])
-    weights = fit_scorer([r["slots"] for r in rows], target).astype(np.float32)
+    seen = zip(sampled.column("votes").to_pylist(), sampled.column("gold").to_pylist(), strict=True)
+    target = np.array([posterior.get(v + (g or "-"), posterior.get(v + "-", 0.5)) for v, g in seen])
+    slots = sampled.column("slots").combine_chunks()
+    weights = fit_scorer(slots.flatten().to_numpy(), slots.value_lengths().to_numpy(), target).astype(np.float32)
     used = np.flatnonzero(weights)
     sparse = (used.astype(np.int32), weights[used])
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(SLOTS, dtype=np.float32)
         w[sparse[0]] = sparse[1]
-        cache: dict[str, list[int]] = {}
+        # most slots weigh nothing, so most words have none to add
+        toxic, cache = toxic_reader(), PerWord(lambda word: tuple(k for k in word_slots(word) if w[k]))
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
