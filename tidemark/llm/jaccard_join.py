@@ -167,10 +167,15 @@ def link_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, frequ
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64) if sig else [], pa.int64()), pa.array(np.concatenate(own) if own else [], pa.int64())], ["sig", "doc"])
 
     posts = materialize(alone_.select("doc_id", "body").mapInArrow(index, "sig long, doc long"), "posts")
-    # candidate clusters: sets joined by shared signatures, as edges to the first set of each signature
+    # candidate clusters: sets joined by shared signatures, as edges to the first set of each signature. A set's edges
+    # are first contracted to its least head, so the members of one large cluster leave a few edges among heads
     heads = posts.groupBy("sig").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = posts.join(heads, "sig").where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = materialize(components(star), "clusters")
+    star = materialize(posts.join(heads, "sig").select("doc", "head").distinct(), "star")
+    low = materialize(star.groupBy("doc").agg(F.min("head").alias("low")), "low")
+    least = F.least("doc", "low").alias("low")
+    between = star.join(low.select("doc", least), "doc").select(F.col("low").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
+    joined = components(between).withColumnRenamed("node", "low")
+    clusters = materialize(low.select(F.col("doc").alias("node"), least).join(side(joined), "low", "left").select("node", F.coalesce("component", "low").alias("component")), "clusters")
 
     # the sets of a cluster are cut into blocks by size class (linked sets are in one class or in neighbouring ones)
     # and, where a class holds more than a block, by a hash; blocks that may hold a link meet
