@@ -9,8 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the bytes authenticated with every envelope.
-AAD = "dsh-memory-hub/enc/v1"
+#: Text authenticated with every envelope; logs sealed by another program need that program's.
+AAD = "tidemark/enc/v1"
 
 
 def key_record(salt: bytes, n: int = 16384, r: int = 8, p: int = 1) -> str:
@@ -34,18 +34,18 @@ def derive_key(passphrase: str, salt: bytes, n: int = 16384, r: int = 8, p: int
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=n, r=r, p=p, maxmem=256 << 20, dklen=32)
 
 
-def encode_line(line: Column, key: bytes, iv: Column | None = None) -> Column:
+def encode_line(line: Column, key: bytes, iv: Column | None = None, aad: str = AAD) -> Column:
     """Envelope of a line. The IV is random for each line unless given (12 bytes); never reuse one with a key."""
     iv = F.substring(F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit(""))), 1, 12) if iv is None else iv
-    sealed = F.aes_encrypt(line, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), iv, F.lit(AAD))
+    sealed = F.aes_encrypt(line, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), iv, F.lit(aad))
     return F.to_json(F.struct(F.lit(1).alias("__enc__"), F.base64(F.substring(sealed, 1, 12)).alias("iv"), F.base64(sealed.substr(F.lit(13), F.length(sealed))).alias("ct")))
 
 
-def decode_line(line: Column, key: bytes) -> Column:
+def decode_line(line: Column, key: bytes, aad: str = AAD) -> Column:
     """The line in an envelope, null where it does not authenticate; lines that are no envelope pass as they are."""
     x = F.from_json(line, "__enc__ int, iv string, ct string")
     sealed = F.concat(F.unbase64(x["iv"]), F.unbase64(x["ct"]))
-    plain = F.try_aes_decrypt(sealed, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(AAD)).cast("string")
+    plain = F.try_aes_decrypt(sealed, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad)).cast("string")
     return F.when(x["__enc__"].isNull(), line).otherwise(plain)
 
 
