@@ -382,9 +382,9 @@ def m7_import_stats(spark, sf_dir):
     return documents.plan_import(s7_split_document(spark, sf_dir), documents.session_text(_session_lines(spark, sf_dir)), nothing, NOW, nfkc=False)[1]
 
 
-@query(f"WITH {EDGES_SQL} SELECT src, relation, dst, occurred_at, invalid_at, ids FROM edges")
+@query(f"WITH {EDGES_SQL} SELECT src, relation, dst, occurred_at, coalesce(invalid_at, -1) AS invalid_at, ids FROM edges")
 def g4_graph_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("src", "relation", "dst", "occurred_at", "invalid_at", F.array_join("entry_ids", ",").alias("ids"))
+    return _edges(spark, sf_dir).select("src", "relation", "dst", "occurred_at", F.coalesce("invalid_at", F.lit(-1)).alias("invalid_at"), F.array_join("entry_ids", ",").alias("ids"))
 
 
 def _edges(spark, sf_dir):
