@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 from operator import eq
 from zlib import crc32
 
@@ -28,6 +27,8 @@ RARE, COMMON = 3, 0.3
 EM_ROUNDS = 100
 SYMBOLS = "#*$%&|<>"
 EDGES = re.compile(r"^\W+|\W+$")
+#: The ASCII characters among those marks.
+MARKS = "".join(c for c in map(chr, range(128)) if EDGES.match(c))
 
 
 def _vote(bad: bool, good: bool = False) -> str:
@@ -80,33 +81,59 @@ TOXIC = 9
 LABELLERS = len(votes(statistics(""), False))
 
 
-def forms_of(word: str) -> list[str]:
-    """The word without marks around it, and its beginnings."""
-    w = word if word.isalpha() else EDGES.sub("", word)
-    return [w, *(f"{w[:k]}*" for k in BEGINNINGS if len(w) > k)]
+class WordReader:
+    """Whether a text holds a listed word, and the slots of its words and word beginnings, marks around words off.
 
+    lexicon: words, and beginnings as `begin*`. weighs: a byte for each slot, 0 if it is not to be returned; None for all. Words that say nothing are kept
+    in a set that a text's words are cut by at once, what the others say in a table; both start anew when full.
+    """
 
-class PerWord(dict):
-    """What `value` says of a word, kept while there are not too many words."""
-
-    def __init__(self, value: Callable, limit: int = 300_000):
-        super().__init__()
-        self.value, self.limit = value, limit
-
-    def __missing__(self, word: str):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = self.value(word)
+    def __init__(self, lexicon: frozenset[str], weighs: bytes | None = None, slots: bool = True, limit: int = 300_000):
+        self.words, self.begins = lexicon, frozenset(x[:-1] for x in lexicon if x.endswith("*"))
+        self.weighs, self.slots, self.limit = weighs, slots, limit
+        self.dull: set[str] = set()
+        self.said: dict[str, tuple[bool, tuple[int, ...]]] = {}
+        self.begin_slots: dict[str, int] = {}
+
+    def slot(self, form: str) -> int:
+        """The form's slot, or -1 where it weighs nothing."""
+        k = STAT_SLOTS + crc32(form.encode("utf-8", "replace")) % (SLOTS - STAT_SLOTS)
+        return k if self.weighs is None or self.weighs[k] else -1
+
+    def begin_slot(self, begin: str) -> int:
+        k = self.begin_slots.get(begin)
+        if k is None:
+            k = self.begin_slots[begin] = self.slot(begin + "*")
+        return k
+
+    def read(self, word: str) -> tuple[bool, tuple[int, ...]] | None:
+        w = word if word.isascii() or word.isalpha() else EDGES.sub("", word)
+        begins = [w[:k] for k in BEGINNINGS if len(w) > k]
+        listed = w in self.words or not self.begins.isdisjoint(begins)
+        slots = tuple(k for k in (self.slot(w), *map(self.begin_slot, begins)) if k >= 0) if self.slots else ()
+        if max(len(self.dull), len(self.said), len(self.begin_slots)) >= self.limit:
+            for kept in (self.dull, self.said, self.begin_slots):
+                kept.clear()
+        if not listed and not slots:
+            self.dull.add(word)
+            return None
+        out = self.said[word] = listed, slots
         return out
 
-
-def word_slots(word: str) -> tuple[int, ...]:
-    return tuple(STAT_SLOTS + crc32(f.encode("utf-8", "replace")) % (SLOTS - STAT_SLOTS) for f in forms_of(word))
+    def __call__(self, text: str) -> tuple[bool, set[int]]:
+        if not self.slots and not self.words:
+            return False, set()
+        toxic, slots = False, set()
+        for word in {w.strip(MARKS) for w in set(text.lower().split())} - self.dull:
+            if says := self.said.get(word) or self.read(word):
+                toxic = toxic or says[0]
+                slots.update(says[1])
+        return toxic, slots
 
 
-def slots_of(text: str, s: dict[str, float], voted: str, per_word: PerWord) -> list[int]:
-    """Slots of the distinct words, their beginnings, the votes and the statistics, in steps."""
-    out = set(chain.from_iterable(map(per_word.__getitem__, set(text.lower().split()))))
+def slots_of(word_slots: set[int], s: dict[str, float], voted: str) -> list[int]:
+    """Slots of the words, the votes and the statistics, in steps."""
+    out = set(word_slots)
     for name, x in s.items():
         if name != "n":
             step = 0 if x == 0 else 1 + min(9, int(x * 10)) if x >= 0.1 else (1 if x >= 0.03 else 0)
@@ -207,14 +234,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     lexicon = frozenset(toxic_words(base, labels))
 
-    def toxic_reader() -> Callable[[str], bool]:
-        listed = PerWord(lambda w: any(f in lexicon for f in forms_of(w)))
-        return lambda text: bool(lexicon) and any(map(listed.__getitem__, set(text.lower().split())))
-
     def voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic = toxic_reader()
+        read = WordReader(lexicon, slots=False)
         for b in batches:
-            out = [votes(statistics(t or ""), toxic(t or "")) for t in b.column(1).to_pylist()]
+            out = [votes(statistics(t or ""), read(t or "")[0]) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "votes"])
 
     gold = labels.where("doc_id is not null").groupBy("doc_id").agg(
@@ -226,14 +249,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     posterior = fit_label_model(patterns)
 
     def sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, cache = toxic_reader(), PerWord(word_slots)
+        read = WordReader(lexicon)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            stats = [statistics(t) for t in texts]
-            voted = [votes(s, toxic(t)) for s, t in zip(stats, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(voted, pa.string()), pa.array([slots_of(t, s, v, cache) for t, s, v in zip(texts, stats, voted, strict=True)], pa.list_(pa.int32()))], ["doc_id", "votes", "slots"]
-            )
+            voted, slots = [], []
+            for t in b.column(1).to_pylist():
+                s = statistics(t or "")
+                toxic, of_words = read(t or "")
+                voted.append(votes(s, toxic))
+                slots.append(slots_of(of_words, s, voted[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(voted, pa.string()), pa.array(slots, pa.list_(pa.int32()))], ["doc_id", "votes", "slots"])
 
     total = voted.count()
     part = min(1.0, fit_docs / max(1, total))
@@ -250,14 +274,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(SLOTS, dtype=np.float32)
         w[sparse[0]] = sparse[1]
-        # most slots weigh nothing, so most words have none to add
-        toxic, cache = toxic_reader(), PerWord(lambda word: tuple(k for k in word_slots(word) if w[k]))
+        read = WordReader(lexicon, (w != 0).tobytes())  # most slots weigh nothing, so most words have none to add
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
                 s = statistics(t or "")
-                v = votes(s, toxic(t or ""))
-                score = score_of(slots_of(t or "", s, v, cache), w)
+                toxic, of_words = read(t or "")
+                v = votes(s, toxic)
+                score = score_of(slots_of(of_words, s, v), w)
                 out.append((v, posterior.get(v + "-", 0.5), score, bool(s["n"]) and score < REJECT))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], ["doc_id", "votes", "p_bad", "score", "kept"])
 
