@@ -432,12 +432,12 @@ def g14_graph_diff(spark, sf_dir):
 
 @query()
 def c1_theme_clusters(spark, sf_dir):
-    return C.theme_clusters(entries(spark, sf_dir), hub=8, nfkc=False)[1].select("theme_id", "label", "member_count", "top_kinds")
+    return C.theme_clusters(entries(spark, sf_dir), nfkc=False)[1].select("theme_id", "label", "member_count", "top_kinds")
 
 
 @query()
 def c2_distill(spark, sf_dir):
-    return C.distill(entries(spark, sf_dir), NOW, hub=8, nfkc=False)[0].select("id", "kind", "content")
+    return C.distill(entries(spark, sf_dir), NOW, nfkc=False)[0].select("id", "kind", "content")
 
 
 @query(
