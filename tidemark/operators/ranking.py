@@ -170,10 +170,24 @@ def line_base(now: int, o: RecallOptions) -> Column:
     return out * F.when(is_superseded(F.col("tags")), F.lit(o.superseded_penalty)).otherwise(1.0)
 
 
+def could_fit(hits: DataFrame, limit: int, max_tokens: int, order: list[Column], by: str = "qid") -> DataFrame:
+    """hits with their rank by `order` among those that fill_budget() can take: the first `limit` of each cost, costs
+    over max_tokens as one.
+
+    The budget left only shrinks, so where a hit is taken all earlier ones of its cost were, and they are fewer than
+    limit. The first hit of all is the first of its cost. No more than limit * (max_tokens + 1) hits are left, whatever
+    the table; what is dropped uses no budget.
+    """
+    cost = F.least(F.col("cost"), F.lit(max_tokens + 1)).cast("long")
+    of_cost = hits.withColumn("__cost", cost).withColumn("__nth", F.row_number().over(Window.partitionBy(by, "__cost").orderBy(*order)))
+    kept = of_cost.where(F.col("__nth") <= limit).drop("__cost", "__nth")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
 def fill_budget(hits: DataFrame, limit: int, max_tokens: int, by: str = "qid") -> DataFrame:
     """The hits of each query that fit: in order, the first always, later ones that overflow are skipped.
 
-    hits: `by`, rank, id, cost. What is folded per query is bounded by the ranks that the caller keeps.
+    hits: `by`, rank, id, cost. What is folded per query is bounded if the hits went through could_fit().
     """
     one = F.array_sort(F.collect_list(F.struct("rank", "id", F.col("cost").cast("long").alias("cost"))))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
@@ -253,8 +267,7 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
     hits = rows.where("score > 0").select("id", "score", "tags", "created_at", why.alias("why"), estimate_tokens(F.concat_ws(" ", "kind", "content")).alias("cost"))
     gone = hits.select(F.col("id"), F.explode(superseded_by(F.col("tags"))).alias("by")).join(hits.select(F.col("id").alias("by")), "by", "left_semi").select("id").distinct()
     ranked = hits.join(gone, "id", "left_anti").withColumn("qid", F.lit("q"))
-    # a hit costs at least one token, so no more than max_tokens of them can fit
-    ranked = ranked.orderBy(F.desc("score"), "created_at", "id").limit(o.max_tokens + o.limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "created_at", "id")))
+    ranked = could_fit(ranked, o.limit, o.max_tokens, [F.desc("score"), F.col("created_at"), F.col("id")])
     kept = fill_budget(ranked, o.limit, o.max_tokens)
     return kept.join(ranked, ["qid", "id"]).select("id", F.col("place").alias("rank"), "score", is_superseded(F.col("tags")).alias("superseded"), "why")
 

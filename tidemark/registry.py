@@ -199,9 +199,8 @@ _RANKED = "rn AS (SELECT id, cost, row_number() OVER (ORDER BY created_at DESC,
     SELECT got AS id, taken::INT AS place FROM fold WHERE got IS NOT NULL"""
 )
 def r13_token_budget(spark, sf_dir):
-    # a cost is 1 or more, so no more than the budget's hits can fit
     e = entries(spark, sf_dir).select(F.lit("q").alias("qid"), "id", "created_at", X.estimate_tokens(F.col("content")).alias("cost"))
-    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("created_at"), "id"))).where("rank <= 9050")
+    ranked = R.could_fit(e, 50, 9000, [F.desc("created_at"), F.col("id")])
     return R.fill_budget(ranked, 50, 9000).select("id", "place")
 
 
