@@ -190,6 +190,14 @@ def test_pii(spark, docs):
     assert pii.redact("a 1.2.3.4 b", [("ip", 2, 9)]) == "a [IP] b"
 
 
+def test_pii_by_shape_alone(spark):
+    """A token of a shape that base patterns nearly always label, without other personal data and only once."""
+    rows = [(i, f"asmith{'abcdefghij'[i % 10]}@example.org wrote") for i in range(300)] + [(900, "ask asmith@müller.de today"), (901, "room 12 and 1234567 of 7")]
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 900").collect()}
+    assert (got[900].base, got[900].spans, got[900].redacted) == ("", "email:4:20", "ask [EMAIL] today")
+    assert got[901].spans == "" and got[901].redacted == rows[-1][1]
+
+
 def test_html():
     page = "<nav><a>x</a></nav><article><h1>T &amp; U</h1><p>a<b>b</b>\n c<p>d</article><footer>f</footer><div class='comments'><p>n</div><script>if(a<b)</script>"
     assert html_text.main_text(page) == "T & U ab c d"

@@ -28,9 +28,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 #: Tokens as near as this many characters share a chain edge; tokens whose key is equal, a skip edge.
 NEAR, MIN_KEY = 40, 7
-#: Message passing stops after this many rounds; beliefs above SURE add spans.
-ROUNDS, SURE = 10, 0.9
-#: Occurrences of one key are tied in a chain, each to the next, so skip edges grow with the tokens, not their pairs.
+#: Message passing stops after this many rounds; beliefs above SURE add spans. Chain edges weigh no more than CHAIN.
+ROUNDS, STILL, SURE, CHAIN = 10, 1e-3, 0.9, 1.0
 
 
 def luhn(digits: str) -> bool:
@@ -136,15 +135,21 @@ def edges_of(tokens: list[tuple[int, int, str, str, int]]) -> Iterator[tuple[int
 
     Similar: numbers that agree in their last MIN_KEY or more digits, as with and without a country code.
     """
-    last: dict[str, int] = {}
-    for j, (start, _, _, key, _) in enumerate(tokens):
-        if j and start - tokens[j - 1][1] <= NEAR:
+    for j in range(1, len(tokens)):
+        if tokens[j][0] - tokens[j - 1][1] <= NEAR:
             yield j - 1, j, 0
+    for held in occurrences(tokens):
+        for i, j in zip(held, held[1:]):
+            yield i, j, 1
+
+
+def occurrences(tokens: list[tuple[int, int, str, str, int]]) -> list[list[int]]:
+    """The tokens of each key that recurs."""
+    held: dict[str, list[int]] = defaultdict(list)
+    for j, (_, _, _, key, _) in enumerate(tokens):
         if key:
-            tail = key[-10:] if key.isdigit() and len(key) <= 15 else key
-            if tail in last:
-                yield last[tail], j, 1
-            last[tail] = j
+            held[key[-10:] if key.isdigit() and len(key) <= 15 else key].append(j)
+    return [x for x in held.values() if len(x) > 1]
 
 
 def count_potentials(docs: DataFrame) -> dict:
@@ -179,7 +184,7 @@ def count_potentials(docs: DataFrame) -> dict:
         joint = edge[k] / edge[k].sum()
         own = joint.sum(axis=1)
         out[k] = np.log(joint / np.outer(own, own))  # how much more often two labels meet than by chance
-    out[0] = np.clip(out[0], -1.0, 1.0)
+    out[0] = np.clip(out[0], -CHAIN, CHAIN)
     # a key that recurs has one label: the counts can only show so far as base patterns see both occurrences
     same = np.eye(len(LABELS), dtype=bool)
     out[1] = np.where(same, np.maximum(out[1], 3.0), np.minimum(out[1], -3.0))
@@ -190,50 +195,54 @@ def count_potentials(docs: DataFrame) -> dict:
 def crf_labels(tokens: list[tuple[int, int, str, str, int]], potentials: dict) -> list[int]:
     """Labels by loopy belief propagation; base labels are observed. Only beliefs above SURE label a token.
 
-    Tokens tied by no path of skip edges to an observed one keep their own best label, which is none unless the
-    shape says otherwise, so the field runs only over the tokens that such paths reach.
+    Without recurring keys each chain edge moves a label's log-odds by 2 * CHAIN at most, so a text where no shape comes within that of SURE
+    keeps its base labels, which is what the field would say.
     """
-    n = len(tokens)
     labels = [t[4] for t in tokens]
-    edges = list(edges_of(tokens))
-    if not any(kind == 1 and (labels[i] == 0) != (labels[j] == 0) for i, j, kind in edges):
+    keys = occurrences(tokens)
+    even = np.log(np.full(len(LABELS), 1 / len(LABELS)))
+    unary = [potentials["unary"].get(t[2], even) for t in tokens]
+    most = np.log(SURE / (1 - SURE)) - 4 * CHAIN
+    if not keys and all(k or u[1:].max() - u[0] < most for k, u in zip(labels, unary, strict=True)):
         return labels
-    unary = np.stack([potentials["unary"].get(t[2], np.log(np.full(len(LABELS), 1 / len(LABELS)))) for t in tokens])
+    unary = np.stack(unary)
     for i, k in enumerate(labels):
         if k:
-            unary[i] = -30.0
+            unary[i] = -1e6  # no number of neighbours outvotes what is observed
             unary[i, k] = 0.0
-    src = np.array([i for i, _, _ in edges] + [j for _, j, _ in edges])
-    dst = np.array([j for _, j, _ in edges] + [i for i, _, _ in edges])
-    m = len(edges)
-    pot = np.stack([potentials["edge"][kind] for _, _, kind in edges] * 2)
-    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    msg = np.zeros((2 * m, len(LABELS)))
-    for _ in range(ROUNDS):
+    edges = list(edges_of(tokens))
+    belief = unary.copy()
+    if edges:
+        src = np.array([i for i, _, _ in edges] + [j for _, j, _ in edges])
+        dst = np.array([j for _, j, _ in edges] + [i for i, _, _ in edges])
+        m = len(edges)
+        pot = np.stack([potentials["edge"][kind] for _, _, kind in edges] * 2)
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        msg = np.zeros((2 * m, len(LABELS)))
+        for _ in range(ROUNDS):
+            belief = unary.copy()
+            np.add.at(belief, dst, msg)
+            x = (belief[src] - msg[back])[:, :, None] + pot
+            top = x.max(axis=1)
+            new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+            new -= new.max(axis=1, keepdims=True)
+            moved = np.abs(new - msg).max()
+            msg = 0.5 * msg + 0.5 * new
+            if moved < STILL:
+                break
         belief = unary.copy()
         np.add.at(belief, dst, msg)
-        x = (belief[src] - msg[back])[:, :, None] + pot
-        top = x.max(axis=1)
-        new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        moved = np.abs(new - msg).max()
-        msg = 0.5 * msg + 0.5 * new
-        if moved < 1e-3:
-            break
-    belief = unary.copy()
-    np.add.at(belief, dst, msg)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    tied = {i for a, b, kind in edges if kind == 1 for i in (a, b)}
-    return [k or (int(p[i].argmax()) if i in tied and p[i].max() >= SURE else 0) for i, k in enumerate(labels)] if n else []
+    return [k or (int(p[i].argmax()) if p[i].max() >= SURE else 0) for i, k in enumerate(labels)]
 
 
 def find_spans(text: str | None, potentials: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind and start."""
     text = text or ""
-    base = base_spans(text)
-    if not base:
+    if not ANY.search(text):
         return [], []
+    base = base_spans(text)
     tokens = tokens_of(text, base)
     added = [(KINDS[k - 1], t[0], t[1]) for t, k in zip(tokens, crf_labels(tokens, potentials), strict=True) if k and not t[4]]
     return base, sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -259,8 +268,8 @@ def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (digest), spans (digest), redacted; one row per input row.
 
     Null and empty texts have no spans; a null text stays null when redacted. Offsets count code points. Rows that
-    repeat are searched alike. Texts are searched whole, in time linear in their length but for message passing, which
-    runs a bounded number of rounds over the edges of one document.
+    repeat are searched alike. Texts are searched whole, in time linear in their length but for message passing, whose
+    rounds each take time linear in the tokens of one document.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     potentials = count_potentials(base.select("text"))
