@@ -198,6 +198,15 @@ def test_pii_by_shape_alone(spark):
     assert got[901].spans == "" and got[901].redacted == rows[-1][1]
 
 
+def test_pii_labels_all_repeats(spark):
+    """One base match and 20 repeats that no base pattern sees, near each other and far apart, among texts where most
+    keys that recur are no personal data."""
+    rows = [(k, "call +1 (640) 555-0953" + f"{gap}16405550953" * 20) for k, gap in enumerate((" or ", " " + "word " * 20))]
+    rows += [(k, f"part {k}7654321 and {k}7654321") for k in range(1000, 2500)] + [(k, f"+1 (640) 555-{k} or +1 (640) 555-{k}") for k in range(2500, 2515)]
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 2").collect():
+        assert len(r.spans.split(",")) == 21 and "0953" not in r.redacted
+
+
 def test_html():
     page = "<nav><a>x</a></nav><article><h1>T &amp; U</h1><p>a<b>b</b>\n c<p>d</article><footer>f</footer><div class='comments'><p>n</div><script>if(a<b)</script>"
     assert html_text.main_text(page) == "T & U ab c d"

@@ -28,8 +28,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 #: Tokens as near as this many characters share a chain edge; tokens whose key is equal, a skip edge.
 NEAR, MIN_KEY = 40, 7
-#: Message passing stops after this many rounds; beliefs above SURE add spans. Chain edges weigh no more than CHAIN.
-ROUNDS, STILL, SURE, CHAIN = 10, 1e-3, 0.9, 1.0
+#: Messages are passed until none moves by more than STILL (ROUNDS only ends a field that oscillates); beliefs above
+#: SURE add spans. Chain edges weigh no more than CHAIN.
+ROUNDS, STILL, SURE, CHAIN = 2000, 1e-4, 0.9, 1.0
 
 
 def luhn(digits: str) -> bool:
@@ -195,22 +196,26 @@ def count_potentials(docs: DataFrame) -> dict:
 def crf_labels(tokens: list[tuple[int, int, str, str, int]], potentials: dict) -> list[int]:
     """Labels by loopy belief propagation; base labels are observed. Only beliefs above SURE label a token.
 
-    Without recurring keys each chain edge moves a label's log-odds by 2 * CHAIN at most, so a text where no shape comes within that of SURE
+    All occurrences of a key are tied to one variable of the key, a star, so edges grow with the tokens. A base match
+    of any occurrence shows the key's label; where matches of one key differ, messages decide. Without recurring keys
+    each chain edge moves a label's log-odds by 2 * CHAIN at most, so a text where no shape comes within that of SURE
     keeps its base labels, which is what the field would say.
     """
     labels = [t[4] for t in tokens]
-    keys = occurrences(tokens)
+    n, keys = len(tokens), occurrences(tokens)
     even = np.log(np.full(len(LABELS), 1 / len(LABELS)))
     unary = [potentials["unary"].get(t[2], even) for t in tokens]
     most = np.log(SURE / (1 - SURE)) - 4 * CHAIN
     if not keys and all(k or u[1:].max() - u[0] < most for k, u in zip(labels, unary, strict=True)):
         return labels
-    unary = np.stack(unary)
-    for i, k in enumerate(labels):
+    shown = [{labels[i] for i in held} - {0} for held in keys]
+    known = labels + [next(iter(x)) if len(x) == 1 else 0 for x in shown]
+    unary = np.stack(unary + [np.zeros(len(LABELS))] * len(keys))
+    for i, k in enumerate(known):
         if k:
             unary[i] = -1e6  # no number of neighbours outvotes what is observed
             unary[i, k] = 0.0
-    edges = list(edges_of(tokens))
+    edges = [e for e in edges_of(tokens) if e[2] == 0] + [(i, n + h, 1) for h, held in enumerate(keys) for i in held]
     belief = unary.copy()
     if edges:
         src = np.array([i for i, _, _ in edges] + [j for _, j, _ in edges])
