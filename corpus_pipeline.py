@@ -13,32 +13,38 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, decontam, jaccard_join, mixing, pii, quality_model
 
 
-def _matching(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the ids in decided.doc_id, null ids included."""
-    ids = decided.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row, which rows share only if both id and text are equal."""
+    return common.row_keys(docs, "doc_id", "text", "__row")[0]
+
+
+def _without(keyed: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """The rows of keyed documents whose __row is not in gone, without that column."""
+    return keyed.join(common.materialize(gone.distinct(), label), "__row", "left_anti").drop("__row")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    judged = common.materialize(quality_model.classify(docs, common.table(spark, sf_dir, "labels")).where("not kept").select("doc_id"), "rejected")
-    return _matching(docs, judged, "left_anti")
+    """Documents that the quality classifier accepts; each is judged by its own text."""
+    keyed = _keyed(docs)
+    judged = quality_model.classify(keyed, common.table(spark, sf_dir, "labels"), carry="__row")
+    return _without(keyed, judged.where("not kept").select("__row"), "rejected")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; of rows that repeat, one.
 
-    Near duplicates share 80 % or more of their five-word shingles.
+    Near duplicates share 80 % or more of their five-word shingles. Rows repeat if id and text are equal.
     """
-    found = jaccard_join.jaccard_join(docs, ngram=5, percent=80)
-    later = common.materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "later")
-    return _matching(docs, later, "left_anti").dropDuplicates(["doc_id"])
+    keyed = _keyed(docs)
+    found = jaccard_join.jaccard_join(keyed, id_col="__row", ngram=5, percent=80)
+    return _without(keyed.dropDuplicates(["__row"]), found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "later")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage: any item's window makes a document go."""
-    found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), min_items=1)
-    return _matching(docs, common.materialize(found.where("contaminated").select("doc_id"), "contaminated"), "left_anti")
+    keyed = _keyed(docs)
+    found = decontam.decontaminate(keyed, common.table(spark, sf_dir, "benchmark"), id_col="__row", min_items=1)
+    return _without(keyed, found.where("contaminated").select(F.col("doc_id").alias("__row")), "contaminated")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import os
 import pytest
 
 import corpus_pipeline
+from tidemark.llm import jaccard_join
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,3 +31,30 @@ def test_empty_documents_pass_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_decided_apart(spark, tmp_path, monkeypatch):
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [(None, words(1)), (None, words(2)), (None, None), (None, words(1)), (5, words(3)), (5, words(4) + " " + words(9, 10)), (6, words(3)), (7, words(9, 10) + " " + words(5))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, words(9, 10))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    want = sorted([(None, words(1)), (None, words(2)), (None, None), *texts[4:6], texts[7]], key=repr)
+    assert left(corpus_pipeline.keep_distinct(spark, docs, str(tmp_path))) == want
+    want = sorted([t for k, t in enumerate(texts) if k not in (5, 7)], key=repr)
+    assert left(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == want
+
+    def judge(docs, labels, carry):
+        return docs.selectExpr("doc_id", "text is not null and text not like 'w4%' as kept", carry)
+
+    monkeypatch.setattr(corpus_pipeline.quality_model, "classify", judge)
+    want = sorted([t for k, t in enumerate(texts) if k not in (2, 5)], key=repr)
+    assert left(corpus_pipeline.keep_quality(spark, docs, str(tmp_path))) == want
+
+
+def test_jaccard_join_links_rows_of_one_id_or_none(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, words(1)), (None, words(2)), (None, ""), (3, words(1) + " end"), (4, words(2) + " end"), (4, words(7))]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got), key=repr) == sorted([(None, 37, 3, 1), (None, 37, 4, 1), (None, 0, None, 0), (3, 38, 3, 1), (4, 38, 4, 1), (4, 37, 4, 0)], key=repr)

@@ -94,3 +94,22 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[Column], label
         .withColumn("rank_in_group", F.col("__local") + F.col("__before"))
         .drop("__pid", "__local", "__before")
     )
+
+
+def row_keys(docs: DataFrame, id_col: str, text_col: str, key: str = "key") -> tuple[DataFrame, DataFrame | None]:
+    """(docs with a bigint key, key -> id). Rows share a key only if both their id and their text are equal; keys are in
+    the order of the ids, null last.
+
+    Where ids repeat or are null the key is the rank of (id, 128 bits of the text); else it is the id itself, and there
+    is no second table.
+    """
+    id_ = F.col(id_col).cast("long")
+    seen = docs.select(id_.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if seen.where("n > 1 or id is null").isEmpty():
+        return docs.withColumn(key, id_), None
+    parts = ["__rk_null", "__rk_id", "__rk_a", "__rk_b"]
+    digest = F.md5(F.coalesce(F.concat(F.lit("t"), F.col(text_col).cast("string")), F.lit("")).cast("binary"))
+    keyed = docs.withColumns(dict(zip(parts, [id_.isNull().cast("int"), F.coalesce(id_, F.lit(0)), F.substring(digest, 1, 16), F.substring(digest, 17, 16)], strict=True)))
+    ranks = distributed_rank(keyed.select(*parts).distinct(), [], [F.col(p) for p in parts], "row-keys").select(*parts, F.col("rank_in_group").cast("long").alias(key))
+    ranks = materialize(ranks, "row-keys")
+    return keyed.join(ranks, parts).select(*docs.columns, key), ranks.select(key, F.when(F.col("__rk_null") == 0, F.col("__rk_id")).alias("id"))

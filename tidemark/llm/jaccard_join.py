@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_keys, table
 from .components import components
 from .repeats import WordHashes, bitmap, finish, gram_hashes, in_bitmap, side, small_batches, word_hashes
 
@@ -225,16 +225,22 @@ def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", ngram: int =
     reachable by links; n_links counts the other distinct sets a document's set links to. Texts without words (null,
     empty) link with nothing, not even each other: component_id is their own id. Rows with equal sets are one class,
     represented by the smallest id and never paired among themselves; a null id counts as largest. Rows that share an
-    id are assumed to share their text.
+    id, or have none, are joined each by its own text.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed, ids = row_keys(texts, "doc_id", "text")
+    base = keyed.select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     members, links = link_sets(base, ngram, percent, frequent, block)
     groups = components(links).select(F.col("node").alias("first"), "component")
     counts = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     known = groups.join(counts, "first", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))
-    return members.join(side(known), "first", "left").select("doc_id", "n_shingles", F.nullif(own, F.lit(NO_ID)).alias("component_id"), F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    out = members.join(side(known), "first", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    if ids is None:
+        return out
+    of = lambda name: ids.select(F.col("key").alias(name), F.col("id").alias(f"{name}_id"))
+    return out.join(of("doc_id"), "doc_id").join(of("component_id"), "component_id").select(F.col("doc_id_id").alias("doc_id"), "n_shingles", F.col("component_id_id").alias("component_id"), "n_links")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

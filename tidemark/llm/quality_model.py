@@ -221,8 +221,9 @@ def score_of(slots: list[int], weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[slots].sum(), -30, 30))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", fit_docs=FIT_DOCS) -> DataFrame:
-    """doc_id, votes, p_bad (posterior of the label model), score, kept; one row per input row.
+def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", fit_docs=FIT_DOCS, carry: str | None = None) -> DataFrame:
+    """doc_id, votes, p_bad (posterior of the label model), score, kept and the bigint column carry, if given; one row
+    per input row.
 
     Labellers vote on every document; their accuracies are estimated over the vote patterns of the whole corpus,
     anchored by the labels (quality 0 or toxic 1: bad) where they exist. The posteriors then train the scorer on about
@@ -230,7 +231,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     hold nothing to train on. Empty tables give no rows; without labels the heuristics stand alone. Labels that
     repeat count once, the worst first; rows that repeat are judged alike.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    base, more = docs.select(*columns), [carry] if carry else []
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     lexicon = frozenset(toxic_words(base, labels))
 
@@ -283,9 +285,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
                 v = votes(s, toxic)
                 score = score_of(slots_of(of_words, s, v), w)
                 out.append((v, posterior.get(v + "-", 0.5), score, bool(s["n"]) and score < REJECT))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_())))], ["doc_id", "votes", "p_bad", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))), *b.columns[2:]], ["doc_id", "votes", "p_bad", "score", "kept", *more])
 
-    return base.mapInArrow(scoring, "doc_id long, votes string, p_bad double, score double, kept boolean")
+    return docs.select(*columns, *(F.col(c).cast("long").alias(c) for c in more)).mapInArrow(scoring, ", ".join(["doc_id long, votes string, p_bad double, score double, kept boolean", *(f"{c} long" for c in more)]))
 
 
 def op8_quality_model(spark, sf_dir: str) -> DataFrame:
