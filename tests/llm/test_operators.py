@@ -181,6 +181,14 @@ def test_quality_model(spark, docs):
     assert np.mean(right) > 0.97
 
 
+def test_toxic_words_of_texts_that_begin_alike(spark):
+    rows = [(i, "The same header of one forum stands before every single post here. " + (f"vileword own{i}a" if i < 8 else f"fine own{i}a")) for i in range(40)]
+    rows += [(100 + i, "exact copies of one text with copyword") for i in range(8)]
+    labels = [(i, 1, int(i < 8 or i >= 100)) for i, _ in rows]
+    found = quality_model.toxic_words(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "vileword" in found and "copyword" not in found
+
+
 def test_pii(spark, docs):
     assert pii.detect(docs).count() == len(corpus())
     rows = [(1, "call +1 (640) 555-0953, again 16405550953"), (2, None), (3, "a.b@c.org 1.2.3.4 x 4111 1111 1111 1111"), (4, "1.2.3.400 4111111111111112 +12 a@b")]

@@ -16,7 +16,7 @@ from .common import materialize, table
 
 #: Most labelled rows the word list of toxic language is learned from; most documents the scorer is fitted on.
 LEXICON_DOCS, FIT_DOCS = 6000, 6000
-#: Words of that list: least toxic documents (copies of one beginning count once), least part of all toxic ones, least share of toxic among the labelled documents that hold it, most words.
+#: Words of that list: least toxic documents (copies of one text count once), least part of all toxic ones, least share of toxic among the labelled documents that hold it, most words.
 LEXICON_MIN, LEXICON_PART, LEXICON_SHARE, LEXICON_WORDS = 5, 0.01, 0.95, 400
 #: Lengths of the word beginnings that stand in the list and the scorer beside whole words, as `begin*`.
 BEGINNINGS = (5, 6, 7)
@@ -147,7 +147,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame, limit: int = LEXICON_DOCS) -
     """Words and word beginnings that nearly only documents labelled toxic hold, from at most `limit` labelled rows (by id hash)."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     least = max(LEXICON_MIN, LEXICON_PART * (ids.agg(F.sum("toxic")).first()[0] or 0))
-    held = docs.select("doc_id", "text", F.xxhash64(F.substring("text", 1, 60)).alias("copy")).join(F.broadcast(ids), "doc_id")  # `limit` rows of two numbers at most
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).join(F.broadcast(ids), "doc_id")  # `limit` rows of two numbers at most
     words = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")))
     forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) > k, F.concat(F.substring(w, 1, k), F.lit("*"))).otherwise(w) for k in BEGINNINGS]))))
     found = held.select("copy", "toxic", F.explode(forms).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("copy"))).alias("texts"))
