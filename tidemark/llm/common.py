@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session gets a folder of its own
+    beside its warehouse; on a cluster there is no place to guess, so it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = tempfile.mkdtemp(prefix="tidemark-")
-    return "file://" + shared_dir.own
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
+
+
+#: Most rows, and about the most bytes, of a batch that Python works on at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds the batches that Spark sends to Python while it lasts; the session's settings come back after it."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none holds much more than BATCH_BYTES or more than BATCH_ROWS rows, however the session
+    sets Arrow's batches."""
+    for b in batches:
+        parts = max(-(-b.num_rows // BATCH_ROWS), min(b.num_rows, -(-b.nbytes // BATCH_BYTES)), 1)
+        rows = -(-b.num_rows // parts)
+        for k in range(0, b.num_rows, max(1, rows)):
+            yield b.slice(k, rows)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -96,20 +126,33 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[Column], label
     )
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, also where it holds dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with marks before it where df has a column called so."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def row_keys(docs: DataFrame, id_col: str, text_col: str, key: str = "key") -> tuple[DataFrame, DataFrame | None]:
     """(docs with a bigint key, key -> id). Rows share a key only if both their id and their text are equal; keys are in
     the order of the ids, null last.
 
     Where ids repeat or are null the key is the rank of (id, 128 bits of the text); else it is the id itself, and there
-    is no second table.
+    is no second table. key must be no column of docs; other columns may have any name.
     """
-    id_ = F.col(id_col).cast("long")
+    id_ = column(id_col).cast("long")
     seen = docs.select(id_.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     if seen.where("n > 1 or id is null").isEmpty():
         return docs.withColumn(key, id_), None
-    parts = ["__rk_null", "__rk_id", "__rk_a", "__rk_b"]
-    digest = F.md5(F.coalesce(F.concat(F.lit("t"), F.col(text_col).cast("string")), F.lit("")).cast("binary"))
+    parts = [fresh(docs, f"__rk_{x}") for x in ("null", "id", "a", "b")]
+    digest = F.md5(F.coalesce(F.concat(F.lit("t"), column(text_col).cast("string")), F.lit("")).cast("binary"))
     keyed = docs.withColumns(dict(zip(parts, [id_.isNull().cast("int"), F.coalesce(id_, F.lit(0)), F.substring(digest, 1, 16), F.substring(digest, 17, 16)], strict=True)))
     ranks = distributed_rank(keyed.select(*parts).distinct(), [], [F.col(p) for p in parts], "row-keys").select(*parts, F.col("rank_in_group").cast("long").alias(key))
     ranks = materialize(ranks, "row-keys")
-    return keyed.join(ranks, parts).select(*docs.columns, key), ranks.select(key, F.when(F.col("__rk_null") == 0, F.col("__rk_id")).alias("id"))
+    return keyed.join(ranks, parts).select(*map(column, docs.columns), key), ranks.select(key, F.when(F.col(parts[0]) == 0, F.col(parts[1])).alias("id"))

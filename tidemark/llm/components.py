@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint). node, component (smallest node reachable), one row per node that has an edge.
@@ -18,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
     seen = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # every round but the last lowers an edge, so there is a last one
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         # large star: neighbours above a node go under the least of its neighbourhood

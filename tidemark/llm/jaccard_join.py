@@ -7,24 +7,24 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_keys, table
+from .common import batched, discard, materialize, row_keys, small_batches, table
 from .components import components
-from .repeats import WordHashes, bitmap, finish, gram_hashes, in_bitmap, side, small_batches, word_hashes
+from .repeats import WordHashes, copy_classes, finish, gram_hashes, in_bitmap, is_first, keyed, side, with_copies, word_hashes
 
 NGRAM, PERCENT = 4, 85
-#: log2 of the bits that mark tokens of two sets or more, and frequent ones.
-SHARED_BITS, FREQUENT_BITS = 27, 24
-#: Tokens in more sets than this are frequent and indexed in pairs, within this many groups by hash.
+#: log2 of the bits that mark tokens of two sets or more, and as many that mark frequent ones.
+MARK_BITS = 27
+#: Tokens in more sets than this are frequent and indexed in pairs, within this many groups by hash (more for large sets).
 FREQUENT, GROUPS = 32, 32
-#: Sets of one candidate cluster that are verified together; larger clusters are split into blocks of it.
-BLOCK = 1024
+#: Most sets, and about the most tokens, of a block; two blocks are compared at a time.
+BLOCK, BLOCK_TOKENS = 1024, 400_000
+#: Bytes of text whose tokens one bucket counts.
+BUCKET_BYTES = 16 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-NO_ID = (1 << 63) - 1
 
 
 def shingles(body: bytes, cache: WordHashes, n: int = NGRAM) -> np.ndarray:
@@ -35,14 +35,6 @@ def shingles(body: bytes, cache: WordHashes, n: int = NGRAM) -> np.ndarray:
     return np.unique(gram_hashes(w, n) if len(w) >= n else gram_hashes(w, len(w)) ^ np.uint64(len(w)))
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """A 128-bit key of a set."""
-    if not len(s):
-        return 0, 0
-    with np.errstate(over="ignore"):
-        return int(finish(s).sum(dtype=np.uint64).view(np.int64)), int((finish(s ^ np.uint64(0x5DEECE66D)) * np.uint64(2 * len(s) + 1)).sum(dtype=np.uint64).view(np.int64))
-
-
 def small_limits(percent: int = PERCENT, groups: int = GROUPS) -> tuple[int, int]:
     """Sets below the first size may have too few frequent tokens for pairs within groups; they and all sets that can
     link with one (up to the second size) index frequent tokens singly."""
@@ -50,6 +42,19 @@ def small_limits(percent: int = PERCENT, groups: int = GROUPS) -> tuple[int, int
     return small, (small - 1) * 100 // percent
 
 
+def size_class(n: int, percent: int = PERCENT) -> int:
+    """Sets that link are in one class or in neighbouring ones."""
+    return math.floor(math.log(n) / math.log(100 / percent) + 1e-9)
+
+
+def group_counts(n: int, percent: int = PERCENT, groups: int = GROUPS) -> list[int]:
+    """The numbers of hash groups under which a set of n tokens indexes pairs: that of its size class and that of the
+    next one, so that sets that link have one in common. It grows with the set, which keeps the pairs linear in it."""
+    of_class = lambda c: max(groups, int((100 - percent) / 400 * (100 / percent) ** c))
+    c = size_class(n, percent)
+    return sorted({of_class(c), of_class(c + 1)})
+
+
 def signatures(s: np.ndarray, shared: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, groups: int = GROUPS) -> np.ndarray:
     """Signatures of a set; two sets that link share one.
 
@@ -73,30 +78,32 @@ def signatures(s: np.ndarray, shared: np.ndarray, frequent: np.ndarray, percent:
     if need > 0 and n <= near_small:
         out.append(finish(rest[often][:need] ^ np.uint64(0x1D872B41)))
     if need > 0 and n >= small:
-        pairs: list[int] = []
-        held: dict[int, list[int]] = {}
-        for t in rest[often].tolist():
-            mates = held.setdefault((t >> 24) % groups, [])
-            if mates:
-                pairs += [(x * 0x9E3779B97F4A7C15 ^ t) & 0xFFFFFFFFFFFFFFFF for x in mates]
-                need -= 1
-            mates.append(t)
-            if need == 0:
-                break
-        out.append(np.array(pairs, np.uint64))
-    return np.concatenate(out)
-
-
-def verify(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.ndarray, n_right: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (left, right) of sets that link, given their shared tokens and whole sizes; right None: left
-    against itself, each pair once.
-
-    Overlaps are exact: tokens of many of these sets are counted by a matrix product, the others by their few pairs.
+        common = rest[often].tolist()
+        for count in group_counts(n, percent, groups):
+            pairs: list[int] = []
+            held: dict[int, list[int]] = {}
+            left = need
+            for t in common:
+                mates = held.setdefault((t >> 24) % count, [])
+                if mates:
+                    pairs += [(x * 0x9E3779B97F4A7C15 ^ t) + count & 0xFFFFFFFFFFFFFFFF for x in mates]
+                    left -= 1
+                mates.append(t)
+                if left == 0:
+                    break
+            out.append(np.array(pairs, np.uint64))
+    return np.unique(np.concatenate(out))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Numbers of shared tokens of (left, right) sets; right None: of left with itself.
+
+    They are exact: tokens of many of these sets are counted by a matrix product, the others by their few pairs.
     """
     own = right is None
     sets = left if own else [*left, *right]
     m, first = len(sets), len(left)
-    owner = np.repeat(np.arange(m, dtype=np.int64), [len(x) for x in sets])
+    owner = np.repeat(np.arange(m, dtype=np.int32), [len(x) for x in sets])
     tokens = np.concatenate(sets)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
@@ -120,123 +127,245 @@ def verify(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.nd
                     across = (i < first) & (j >= first)
                     i, j = i[across], j[across] - first
                 np.add.at(over, (i, j), 1)
-    both = over.astype(np.int32)
-    linked = (100 * both >= percent * (n_left[:, None] + n_right[None, :] - both)) & (both > 0)
-    return np.nonzero(np.triu(linked, 1) if own else linked)
+                if own:
+                    np.add.at(over, (j, i), 1)
+    return over.astype(np.int32)
 
 
-def link_sets(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: row columns doc_id, n_shingles, k1, k2, first (smallest id with the same set).
-    links: a, b, ids of the firsts of two different sets that link."""
-    spark = docs.sparkSession
+def linking(both: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which sets link, given shared tokens and whole sizes."""
+    return (100 * both >= percent * (n_left + n_right - both)) & (both > 0)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for b in batches:
-            found = [shingles(x, cache, ngram) for x in b.column(1).to_pylist()]
-            k = [set_key(s) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64())], ["doc_id", "n_shingles", "k1", "k2"])
-
-    members = materialize(docs.mapInArrow(keys, "doc_id long, n_shingles long, k1 long, k2 long"), "set-keys")
-    id_ = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = members.groupBy("k1", "k2").agg(F.min(id_).alias("first"), F.count(F.lit(1)).alias("rows"))
-    members = materialize(members.join(classes, ["k1", "k2"]), "members")
-    # what the search leaves out: rows whose set an earlier row has, and rows without words
-    others = side(members.where((id_ != F.col("first")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__id")).distinct())
-    alone_ = docs.join(others, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the edges (a, b): as many edges as tie the same nodes together."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for x, y in sorted(set(zip(a.tolist(), b.tolist(), strict=True))):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+def mark_tokens(firsts: DataFrame, ngram: int, frequent: int, bytes_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of 2 ** MARK_BITS bits: tokens of two sets or more, and of more than `frequent`.
+
+    A batch sends the tokens of its sets, each once with its count and cut to 32 bits below the bucket's, in a row for
+    each bucket; a bucket counts its tokens and returns its part of the bitmaps. Buckets grow in number with the text,
+    so each counts about as much, and what reaches the driver is as large at any size of input. A token that is marked
+    for another one's sake only yields more signatures.
+    """
+    bits = min(20, max(4, math.ceil(math.log2(max(1, bytes_ / BUCKET_BYTES)))))
+    low, rest = MARK_BITS - bits, 5 + bits  # bits of a slot within its bucket, and bits beside the slot
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for b in batches:
-            found = [shingles(x, cache, ngram) for x in b.column(0).to_pylist()]
-            t, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64()), pa.array(n.astype(np.int32), pa.int32())], ["token", "n"])
-
-    counted = materialize(alone_.select("body").mapInArrow(tokens, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "tokens")
-    shared = spark.sparkContext.broadcast(bitmap(counted, "token", SHARED_BITS))
-    often = spark.sparkContext.broadcast(bitmap(counted.where(F.col("n") > frequent), "token", FREQUENT_BITS))
+        for b in batched(batches):
+            found = [shingles(x.as_py(), cache, ngram) for x in b.column(0)]
+            if not found:
+                continue
+            t = np.concatenate(found)
+            slot = t & np.uint64((1 << MARK_BITS) - 1)
+            packed = (slot << np.uint64(rest)) | ((t >> np.uint64(MARK_BITS)) & np.uint64((1 << rest) - 1))
+            packed, n = np.unique(packed, return_counts=True)  # by bucket, then by what is left of the token
+            bucket = (packed >> np.uint64(32)).astype(np.int32)
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            short, most = packed.astype(np.uint32), np.minimum(n, frequent + 1).astype(np.uint16)
+            pieces = [slice(a, z) for a, z in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[at], pa.int32()), pa.array([short[p].tobytes() for p in pieces], pa.binary()), pa.array([b"" if most[p].max() == 1 else most[p].tobytes() for p in pieces], pa.binary())], ["bucket", "tokens", "counts"]
+            )
+
+    def count(held: pa.Table) -> pa.Table:
+        t = [np.frombuffer(x.as_buffer(), np.uint32) for x in held.column("tokens")]
+        n = [np.frombuffer(c, np.uint16) if c else np.ones(len(x), np.uint16) for x, c in zip(t, held.column("counts").to_pylist(), strict=True)]
+        t, n = np.concatenate(t), np.concatenate(n).astype(np.int32)
+        order = np.argsort(t, kind="stable")
+        t, n = t[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        n, slot = np.add.reduceat(n, start), t[start] >> np.uint32(32 - low)
+        marks = []
+        for often in (n > 1, n > frequent):
+            flags = np.zeros(1 << low, np.uint8)
+            flags[slot[often]] = 1
+            marks.append(np.packbits(flags, bitorder="little").tobytes())
+        return pa.table({"bucket": held.column("bucket")[:1].cast(pa.int32()), "shared": pa.array([marks[0]], pa.binary()), "frequent": pa.array([marks[1]], pa.binary())})
+
+    rows = firsts.select("body").mapInArrow(tokens, "bucket int, tokens binary, counts binary")
+    marked = rows.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, frequent binary").toArrow()
+    out = [np.zeros(1 << (MARK_BITS - 6), np.uint64) for _ in range(2)]
+    for k, *marks in zip(*(c.to_pylist() for c in marked.columns), strict=True):
+        for bitmap, part in zip(out, marks, strict=True):
+            words = np.frombuffer(part, np.uint64)
+            bitmap[k * len(words) : (k + 1) * len(words)] = words
+    return out[0], out[1]
+
+
+def block_units(members: DataFrame, contents: DataFrame, percent: int, block: int) -> DataFrame:
+    """members: cluster, node, n, label, loose. unit, side (0 or 1), node, label, size, tokens: every two blocks of a
+    cluster that may hold a link, but for those without a loose set.
+
+    A block holds sets of one size class (linked sets are in one class or in neighbouring ones), at most `block` sets
+    and BLOCK_TOKENS tokens or one set on average, dealt by a hash. A block alone is its own side 0.
+    """
+    sized = members.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent)) + 1e-9).cast("int"))
+    key = ["cluster", "class", "loose"]
+    parts = sized.groupBy(*key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
+    placed = materialize(sized.join(parts, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts", "n"), "blocks")
+    one = placed.select("cluster", F.struct("class", "loose", "part").alias("b1")).distinct()
+    two = one.withColumnRenamed("b1", "b2")
+    meet = one.join(two, "cluster").where((F.col("b2") >= F.col("b1")) & (F.col("b2.class") <= F.col("b1.class") + 1) & (F.col("b1.loose") | F.col("b2.loose")))
+    meet = meet.withColumn("unit", F.xxhash64("cluster", "b1", "b2"))
+    sides = meet.select("cluster", "b1.*", "unit", F.lit(0).alias("side")).unionByName(meet.where("b1 <> b2").select("cluster", "b2.*", "unit", F.lit(1).alias("side")))
+    return placed.join(sides, [*key, "part"]).join(contents, "node").select("unit", "side", "node", "label", "size", "tokens")
+
+
+def _unit(held: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """((nodes, labels) of either side, flags of linked pairs) of a unit; a set does not link with itself."""
+    percent = held.column("percent")[0].as_py()
+    side = held.column("side").to_numpy()
+    parts = []
+    for k in (0, 1):
+        rows = held.filter(pa.array(side == k))
+        parts.append((rows.column("node").to_numpy(), rows.column("label").to_numpy(), rows.column("size").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("tokens")]))
+    own = not len(parts[1][0])
+    a, b = parts[0], parts[0] if own else parts[1]
+    linked = linking(overlaps(a[3], None if own else b[3]), a[2][:, None], b[2][None, :], percent)
+    if own:
+        np.fill_diagonal(linked, False)
+    return a[:2], b[:2], linked
+
+
+def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sets: node, n; known: node, component, n_links of the sets that link). firsts: doc_id, body, distinct.
+
+    1. Every set of a signature is compared with the least one of it. 2. Signatures whose sets are not in one component
+    after that are open; their sets are compared across components, block by block. That finds all components. 3. If
+    asked for, links are counted: within each component all sets are compared, block by block, and a row for each set
+    and block is added up. The pairs themselves are never formed.
+    """
+    spark = firsts.sparkSession
+    shared_bits, frequent_bits = (spark.sparkContext.broadcast(x) for x in mark_tokens(firsts, ngram, frequent, bytes_))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for b in batches:
-            sig, own = [], []
-            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = signatures(shingles(body, cache, ngram), shared.value, often.value, percent)
-                sig.append(got)
-                own.append(np.full(len(got), NO_ID if doc is None else doc))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64) if sig else [], pa.int64()), pa.array(np.concatenate(own) if own else [], pa.int64())], ["sig", "doc"])
-
-    posts = materialize(alone_.select("doc_id", "body").mapInArrow(index, "sig long, doc long"), "posts")
-    # candidate clusters: sets joined by shared signatures, as edges to the first set of each signature. A set's edges
-    # are first contracted to its least head, so the members of one large cluster leave a few edges among heads
-    heads = posts.groupBy("sig").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = materialize(posts.join(heads, "sig").select("doc", "head").distinct(), "star")
-    low = materialize(star.groupBy("doc").agg(F.min("head").alias("low")), "low")
-    least = F.least("doc", "low").alias("low")
-    between = star.join(low.select("doc", least), "doc").select(F.col("low").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
-    joined = components(between).withColumnRenamed("node", "low")
-    clusters = materialize(low.select(F.col("doc").alias("node"), least).join(side(joined), "low", "left").select("node", F.coalesce("component", "low").alias("component")), "clusters")
-
-    # the sets of a cluster are cut into blocks by size class (linked sets are in one class or in neighbouring ones)
-    # and, where a class holds more than a block, by a hash; blocks that may hold a link meet
-    sized = clusters.join(members.where(id_ == F.col("first")).select(id_.alias("node"), F.col("n_shingles").alias("n")).distinct(), "node")
-    sized = sized.withColumn("class", F.floor(F.log("n") / F.lit(-math.log(percent / 100)) + 1e-9).cast("int"))
-    parts = sized.groupBy("component", "class").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = materialize(sized.join(parts, ["component", "class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "blocks")
-    blocks = placed.select("component", "class", "part").distinct()
-    other = blocks.select("component", F.col("class").alias("class2"), F.col("part").alias("part2"))
-    meet = blocks.join(other, "component").where(((F.col("class2") == F.col("class")) & (F.col("part2") >= F.col("part"))) | (F.col("class2") == F.col("class") + 1))
-    meet = meet.withColumn("unit", F.xxhash64("component", "class", "part", "class2", "part2"))
-    same = (F.col("class") == F.col("class2")) & (F.col("part") == F.col("part2"))
-    sides = meet.select("component", "class", "part", "unit", F.lit(0).alias("side")).unionByName(meet.where(~same).select("component", F.col("class2").alias("class"), F.col("part2").alias("part"), "unit", F.lit(1).alias("side")))
-
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batched(batches):
+            n, sigs = [], []
+            for body in b.column(1):
+                s = shingles(body.as_py(), cache, ngram)
+                n.append(len(s))
+                sigs.append(signatures(s, shared_bits.value, frequent_bits.value, percent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "n", "sigs"])
+
+    indexed = materialize(firsts.select("doc_id", "body").mapInArrow(index, "node long, n long, sigs array<long>"), "index")
+    sets = indexed.select("node", "n")
+    posts = indexed.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node", "n")
+    heads = materialize(posts.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1"), "heads")
+    held = materialize(posts.join(heads, "sig"), "posts")
+
+    def contents_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for b in batches:
-            rows = []
-            for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(body, cache, ngram)
-                two = s[in_bitmap(shared.value, s)]
-                rows.append((NO_ID if doc is None else doc, len(s), two.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "size", "tokens"])
-
-    nodes = side(placed.select("node").distinct())
-    held = materialize(alone_.join(nodes, F.coalesce(alone_["doc_id"], F.lit(NO_ID)) == nodes["node"], "left_semi").select("doc_id", "body").mapInArrow(contents, "node long, size long, tokens binary").dropDuplicates(["node"]), "contents")
-    shipped = placed.select("node", "component", "class", "part").join(sides, ["component", "class", "part"]).join(held, "node").select("unit", "node", "side", "size", "tokens")
-
-    def verified(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A unit of at most two blocks."""
-        a, b = (pdf[pdf["side"] == k] for k in (0, 1))
-        own = not len(b)
-        b = a if own else b
-        left, right = ([np.frombuffer(x, np.uint64) for x in pdf_["tokens"]] for pdf_ in (a, b))
-        i, j = verify(left, None if own else right, a["size"].to_numpy(), b["size"].to_numpy(), percent)
-        x, y = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    links = materialize(shipped.groupBy("unit").applyInPandas(verified, "a long, b long").distinct(), "links")
-    return members, links
-
-
-def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+        for b in batched(batches):
+            found = [shingles(body.as_py(), cache, ngram) for body in b.column(1)]
+            two = [s[in_bitmap(shared_bits.value, s)].tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(two, pa.binary())], ["node", "size", "tokens"])
+
+    nodes = side(materialize(held.select(F.col("node").alias("doc_id")).distinct(), "candidates"))
+    contents = materialize(firsts.select("doc_id", "body").join(nodes, "doc_id", "left_semi").mapInArrow(contents_, "node long, size long, tokens binary"), "contents")
+
+    # 1. each set against the head of each of its signatures
+    alike = F.least("n", "head.n") * 100 >= percent * F.greatest("n", "head.n")
+    pairs = held.where((F.col("node") != F.col("head.node")) & alike).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    of = lambda x: contents.select(F.col("node").alias(x), F.col("size").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_t"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batched(batches):
+            x, y = ([np.frombuffer(t.as_buffer(), np.uint64) for t in b.column(c)] for c in (4, 5))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(linking(both, b.column(2).to_numpy(), b.column(3).to_numpy(), percent)))
+
+    links = materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_n", "b_n", "a_t", "b_t").mapInArrow(compare, "a long, b long"), "links")
+    first = components(links)
+
+    # 2. what is open: signatures of three sets or more, not all in one component
+    label = F.coalesce("component", "node")
+    labelled = held.where("many > 2").join(side(first), "node", "left").select("sig", "node", "n", label.alias("label"))
+    open_ = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig", "lo")
+    rest = materialize(labelled.join(open_, "sig"), "open")
+    joined = first
+    if not rest.isEmpty():
+        clusters = components(rest.select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+        members = rest.select("node", "n", "label").distinct().join(side(clusters), "label")
+        # most of a cluster may be one component already: its sets need no comparison with each other
+        main = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+        members = members.join(main, "cluster").select("cluster", "node", "n", "label", (F.col("label") != F.col("main")).alias("loose"))
+
+        def across(held: pa.Table) -> pa.Table:
+            a, b, linked = _unit(held)
+            i, j = np.nonzero(linked & (a[1][:, None] != b[1][None, :]))
+            ties = forest(a[1][i], b[1][j])
+            return pa.table({"a": pa.array([x for x, _ in ties], pa.int64()), "b": pa.array([y for _, y in ties], pa.int64())})
+
+        units = block_units(members, contents, percent, block).withColumn("percent", F.lit(percent))
+        more = materialize(units.groupBy("unit").applyInArrow(across, "a long, b long"), "ties")
+        joined = components(links.unionByName(more))
+        discard(more)
+
+    # 3. links of each set within its component
+    known = materialize(joined.join(sets, "node"), "linked")
+    if not count:
+        return sets, known.select("node", "component")
+    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    sized = known.join(side(size), "component")
+    members = sized.where("k > 2").select(F.col("component").alias("cluster"), "node", "n", F.lit(0).cast("long").alias("label"), F.lit(True).alias("loose"))
+
+    def counted(held: pa.Table) -> pa.Table:
+        a, b, linked = _unit(held)
+        node, n = a[0], linked.sum(axis=1)
+        if len(b[0]) and b[0] is not a[0]:
+            node, n = np.concatenate([node, b[0]]), np.concatenate([n, linked.sum(axis=0)])
+        return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(n, pa.int64())})
+
+    units = block_units(members, contents, percent, block).withColumn("percent", F.lit(percent))
+    many = materialize(units.groupBy("unit").applyInArrow(counted, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links")), "counts")
+    counts = many.unionByName(sized.where("k = 2").select("node", F.lit(1).cast("long").alias("n_links")))
+    return sets, known.select("node", "component").join(counts, "node")
+
+
+def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, count: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, one row per input row.
 
     Sets of ngram-word shingles link when 100 * overlap >= percent * union. component_id is the smallest doc_id
-    reachable by links; n_links counts the other distinct sets a document's set links to. Texts without words (null,
-    empty) link with nothing, not even each other: component_id is their own id. Rows with equal sets are one class,
-    represented by the smallest id and never paired among themselves; a null id counts as largest. Rows that share an
-    id, or have none, are joined each by its own text.
+    reachable by links; n_links counts the other distinct texts a document's text links to (null if `count` is off,
+    which saves comparing all sets of a component). Texts without words (null, empty) link with nothing, not even each
+    other: component_id is their own id. Rows with equal texts are one class, represented by the smallest id and never
+    paired among themselves; a null id counts as largest. Rows that share an id, or have none, are joined each by its
+    own text. Very long texts are one set like others. Columns but the two named are not read, so extra ones can't
+    clash; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed, ids = row_keys(texts, "doc_id", "text")
-    base = keyed.select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    members, links = link_sets(base, ngram, percent, frequent, block)
-    groups = components(links).select(F.col("node").alias("first"), "component")
-    counts = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    known = groups.join(counts, "first", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))
-    out = members.join(side(known), "first", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("n_shingles") == 0, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    numbered, ids = row_keys(texts, "doc_id", "text")
+    base = keyed(numbered, "key", "text")
+    flagged = with_copies(base, copy_classes(base.select("doc_id", "k1", "k2")))
+    firsts = flagged.where(is_first())
+    bytes_ = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    if ids is not None:  # rows that repeat have one key
+        firsts = firsts.dropDuplicates(["doc_id"])
+    with small_batches(docs.sparkSession):
+        sets, known = link_sets(firsts, bytes_, ngram, percent, frequent, block, count)
+    links = F.coalesce("n_links", F.lit(0).cast("long")) if count else F.lit(None).cast("long").alias("n_links")
+    classes = sets.join(side(known), "node", "left").select(F.col("node").alias("first"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"), links.alias("n_links"))
+    rows = flagged.select("doc_id", F.coalesce("first", "doc_id").alias("first"))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    out = rows.join(classes, "first").select("doc_id", "n_shingles", own.alias("component_id"), "n_links")
     if ids is None:
         return out
     of = lambda name: ids.select(F.col("key").alias(name), F.col("id").alias(f"{name}_id"))

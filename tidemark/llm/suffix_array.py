@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .repeats import bitmap, copy_classes, finish, in_bitmap, is_first, keyed, runs_of, side, small_batches, with_copies
+from .repeats import bitmap, copy_classes, finish, in_bitmap, is_first, keyed, runs_of, side, with_copies
 
 LENGTH, TUPLE = 400, 32
 #: Bytes of text hashed at a time; at most 2 ** POS_BITS, as positions share a word with tuple hashes.
@@ -196,7 +196,6 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     name. Texts are hashed in segments, groups of one name larger than `hot` are counted by partial sums: no step
     gathers an unbounded group.
     """
-    small_batches(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
     classes = copy_classes(base.select("doc_id", "k1", "k2").where(F.col("k1").isNotNull()))
     flagged = with_copies(base, classes)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .repeats import WordHashes, bitmap, copy_classes, gram_hashes, in_bitmap, is_first, keyed, side, small_batches, with_copies, word_hashes
+from .repeats import WordHashes, bitmap, copy_classes, gram_hashes, in_bitmap, is_first, keyed, side, with_copies, word_hashes
 
 #: Words of a repeated passage; words of the prefix that partitions the suffixes.
 DEPTH, PREFIX = 13, 7
@@ -103,7 +103,6 @@ def remove_passages(docs: DataFrame, id_col="doc_id", text_col="text", depth: in
     others. Rows that share an id but not a text are kept apart by the text's key; as the id is the same, neither is
     earlier. Windows are equal if 64-bit hashes of their words are.
     """
-    small_batches(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
     flagged = with_copies(base, copy_classes(base.select("doc_id", "k1", "k2")))
     firsts = flagged.where(is_first())
