@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, column, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -31,6 +32,14 @@ NEAR, MIN_KEY = 40, 7
 #: Messages are passed until none moves by more than STILL (ROUNDS only ends a field that oscillates); beliefs above
 #: SURE add spans. Chain edges weigh no more than CHAIN.
 ROUNDS, STILL, SURE, CHAIN = 2000, 1e-4, 0.9, 1.0
+#: About how many texts with a token, chosen by a hash of the text, the field is trained on (never more than twice as
+#: many); texts of more tokens than FIT_TOKENS do not teach, copies of one count up to FIT_COPIES times. Everything else
+#: reads all texts.
+FIT_TEXTS, FIT_TOKENS, FIT_COPIES = 4000, 500, 32
+#: Slots of the features, least tokens that must have a feature, descent steps, what a key's tie weighs before training,
+#: the most a token's own features say against a label, and the precision of the features' prior.
+SLOTS, RARE, STEPS, TIE, DOUBT, RIDGE = 1 << 15, 3, 300, 3.5, 4.0, 0.1
+WORD_BEFORE, WORD_AFTER = re.compile(r"([^\W\d_]+)[\W_]*$"), re.compile(r"[\W_]*([^\W\d_]+)")
 
 
 def luhn(digits: str) -> bool:
@@ -131,21 +140,14 @@ def tokens_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
         pos = m.end()
 
 
-def edges_of(tokens: list[tuple[int, int, str, str, int]]) -> Iterator[tuple[int, int, int]]:
-    """(i, j, kind): chain edges (0) between near neighbours, skip edges (1) between successive equal or similar keys.
-
-    Similar: numbers that agree in their last MIN_KEY or more digits, as with and without a country code.
-    """
-    for j in range(1, len(tokens)):
-        if tokens[j][0] - tokens[j - 1][1] <= NEAR:
-            yield j - 1, j, 0
-    for held in occurrences(tokens):
-        for i, j in zip(held, held[1:]):
-            yield i, j, 1
+def chain_of(tokens: list[tuple[int, int, str, str, int]]) -> list[tuple[int, int]]:
+    """(i, j) of neighbours that are near each other."""
+    return [(j - 1, j) for j in range(1, len(tokens)) if tokens[j][0] - tokens[j - 1][1] <= NEAR]
 
 
 def occurrences(tokens: list[tuple[int, int, str, str, int]]) -> list[list[int]]:
-    """The tokens of each key that recurs."""
+    """The tokens of each key that recurs. Similar: numbers that agree in their last ten digits, as with and without a
+    country code."""
     held: dict[str, list[int]] = defaultdict(list)
     for j, (_, _, _, key, _) in enumerate(tokens):
         if key:
@@ -153,75 +155,147 @@ def occurrences(tokens: list[tuple[int, int, str, str, int]]) -> list[list[int]]
     return [x for x in held.values() if len(x) > 1]
 
 
-def count_potentials(docs: DataFrame) -> dict:
-    """Potentials of the field, counted over all documents with the base spans as labels.
+def features_of(text: str, tokens: list[tuple[int, int, str, str, int]]) -> list[list[int]]:
+    """Feature slots of each token: its shape, the parts of the shape, and the words before and after it."""
+    out = []
+    for a, b, shape, _, _ in tokens:
+        parts = re.split(r"(?=[@.\-+L])", shape)
+        found = [f"shape {shape}", f"kind {shape[0]}", *(f"part {k} {x}" for k, x in enumerate(parts))]
+        if m := WORD_BEFORE.search(text, max(0, a - 40), a):
+            found.append(f"before {m[1].lower()}")
+        if m := WORD_AFTER.match(text, b, b + 40):
+            found.append(f"after {m[1].lower()}")
+        out.append(sorted({crc32(x.encode()) % SLOTS for x in found}))
+    return out
+
+
+def evidence_of(tokens: list[tuple[int, int, str, str, int]]) -> tuple[list[int], list[int], list[int]]:
+    """(visible, before, tied) for training: the label of a token, -1 if hidden; the visible label of its neighbour
+    before it on the chain, and of the other occurrences of its key, -1 if there is none or they differ.
 
-    unary: shape -> log-odds by label; edge: log-odds by pair of labels for chain and skip edges. The tables that come
-    to the driver have a row for each shape (some hundreds by construction) and pair of labels.
+    Base spans are the labels. A token without one whose key has one elsewhere is hidden: that the base patterns miss it
+    says nothing.
     """
+    visible, tied = [t[4] for t in tokens], [-1] * len(tokens)
+    for held in occurrences(tokens):
+        shown = {visible[i] for i in held} - {0}
+        if shown:
+            for i in held:
+                visible[i] = visible[i] or -1
+        for i in held:
+            others = {visible[j] for j in held if j != i and visible[j] >= 0} if len(held) < 50 else (shown or {0})
+            tied[i] = next(iter(others)) if len(others) == 1 else -1
+    before = [-1] * len(tokens)
+    for i, j in chain_of(tokens):
+        before[j] = visible[i]
+    return visible, before, tied
+
+
+def train_field(rows: list[tuple[list[list[int]], list[int], list[int], list[int]]], weights: list[int] | None = None) -> dict:
+    """Potentials that maximise the pseudo-likelihood of the visible labels, each given its features, its neighbours and
+    its key, with Gaussian priors; rows: (features, visible, before, tied) of a text.
+
+    unary: slot -> weight by label; chain, skip: log-potentials by pair of labels. The prior of a skip edge ties equal
+    labels (TIE), all others are centred at 0, so a corpus too small to teach keeps the ties and no opinion on shapes.
+    """
+    n = len(LABELS)
+    y = np.array([v for r in rows for v in r[1]], np.int64)
+    before, tied = (np.array([v for r in rows for v in r[k]], np.int64) for k in (2, 3))
+    weight = np.repeat(np.ones(len(rows)) if weights is None else np.asarray(weights, float), [len(r[1]) for r in rows])
+    sizes = [len(f) for r in rows for f in r[0]]
+    slots = np.array([x for r in rows for f in r[0] for x in f], np.int64)
+    token = np.repeat(np.arange(len(y)), sizes)
+    keep = (y >= 0)[token] if len(y) else np.zeros(0, bool)
+    slots, token = slots[keep], token[keep]
+    often = np.bincount(slots, minlength=SLOTS) >= RARE
+    used, at = np.unique(slots[often[slots]], return_inverse=True)
+    token = token[often[slots]]
+    # an edge is learned from both of its ends
+    after = np.full(len(y), -1, np.int64)
+    has = np.flatnonzero(before >= 0)
+    after[has - 1] = y[has]
+    known = np.flatnonzero(y >= 0)
+    target = np.eye(n)[y[known]]
+    prior = np.where(np.eye(n, dtype=bool), TIE, -TIE)
+    w, chain, skip = np.zeros((len(used), n)), np.zeros((n, n)), prior.copy()
+    seen = [np.full_like(x, 1e-8) for x in (w, chain, skip)]
+    for _ in range(STEPS if len(known) else 0):
+        logits = np.zeros((len(y), n))
+        for k in range(n):
+            logits[:, k] = np.bincount(token, weights=w[at, k], minlength=len(y))
+        for near, table_ in ((before, chain), (after, chain), (tied, skip)):
+            logits[near >= 0] += table_[near[near >= 0]]
+        logits = logits[known]
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        miss = np.zeros((len(y), n))
+        miss[known] = (target - p) * weight[known, None]
+        grads = [np.stack([np.bincount(at, weights=miss[token, k], minlength=len(used)) for k in range(n)], axis=1) - RIDGE * w, -chain, prior - skip]
+        for near, g in ((before, 1), (after, 1), (tied, 2)):
+            np.add.at(grads[g], near[near >= 0], miss[near >= 0])
+        grads[1], grads[2] = ((g + g.T) / 2 for g in grads[1:])
+        for x, g, s in zip((w, chain, skip), grads, seen, strict=True):
+            s += g * g
+            x += 0.3 * g / np.sqrt(s)
+    unary = np.zeros((SLOTS, n), np.float32)
+    unary[used] = w
+    return {"unary": unary, "chain": np.clip(chain, -CHAIN, CHAIN), "skip": skip}
+
+
+def fit_field(texts: DataFrame, fit_texts: int = FIT_TEXTS) -> dict:
+    """The field, trained on a bounded sample of the texts (column text); reruns choose the same."""
+    rows = texts.where(F.col("text").rlike("[0-9@]"))
+    part = min(1.0, fit_texts / max(1, rows.count()))
+    slot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    kind = "h long, copies long, features array<array<int>>, visible array<int>, before array<int>, tied array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and ANY.search(text):
-                    tokens = tokens_of(text, base_spans(text))
-                    found.update(("u", t[2], str(t[4])) for t in tokens)
-                    found.update((f"e{kind}", str(tokens[i][4]), str(tokens[j][4])) for i, j, kind in edges_of(tokens))
-        keys = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in keys], pa.string()) for c in range(3)] + [pa.array([found[k] for k in keys], pa.int64())], ["what", "a", "b", "n"])
-
-    rows = docs.mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    unary: dict[str, np.ndarray] = defaultdict(lambda: np.full(len(LABELS), 0.1))
-    edge = np.full((2, len(LABELS), len(LABELS)), 0.5)
-    for r in rows:
-        if r["what"] == "u":
-            unary[r["a"]][int(r["b"])] += r["n"]
-        else:
-            edge[int(r["what"][1]), int(r["a"]), int(r["b"])] += r["n"]
-    edge = edge + edge.transpose(0, 2, 1)
-    out = {}
-    for k in range(2):
-        joint = edge[k] / edge[k].sum()
-        own = joint.sum(axis=1)
-        out[k] = np.log(joint / np.outer(own, own))  # how much more often two labels meet than by chance
-    out[0] = np.clip(out[0], -CHAIN, CHAIN)
-    # a key that recurs has one label: the counts can only show so far as base patterns see both occurrences
-    same = np.eye(len(LABELS), dtype=bool)
-    out[1] = np.where(same, np.maximum(out[1], 3.0), np.minimum(out[1], -3.0))
-    # a shape the base patterns never match may still be personal data they miss, so its odds are bounded
-    return {"unary": {s: np.clip(np.log(v / v.sum()), -4.0, 0.0) for s, v in unary.items()}, "edge": out}
-
-
-def crf_labels(tokens: list[tuple[int, int, str, str, int]], potentials: dict) -> list[int]:
+        for b in batched(batches):
+            out: list[list] = [[], [], [], [], [], []]
+            for h, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tokens = tokens_of(text, base_spans(text))
+                if 0 < len(tokens) <= FIT_TOKENS:
+                    for col, v in zip(out, (h, min(copies, FIT_COPIES), features_of(text, tokens), *evidence_of(tokens)), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.list_(pa.int32()))), *(pa.array(c, pa.list_(pa.int32())) for c in out[3:])], ["h", "copies", "features", "visible", "before", "tied"])
+
+    sample = rows.where(slot < int(part * (1 << 20)) + 1).groupBy(F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    found = sample.mapInArrow(run, kind).orderBy("h").limit(2 * fit_texts).toArrow()  # 2 * fit_texts texts of FIT_TOKENS tokens at most
+    return train_field(list(zip(*(c.to_pylist() for c in found.columns[2:]), strict=True)), found.column("copies").to_pylist())
+
+
+def crf_labels(tokens: list[tuple[int, int, str, str, int]], features: list[list[int]], field: dict) -> list[int]:
     """Labels by loopy belief propagation; base labels are observed. Only beliefs above SURE label a token.
 
     All occurrences of a key are tied to one variable of the key, a star, so edges grow with the tokens. A base match
     of any occurrence shows the key's label; where matches of one key differ, messages decide. Without recurring keys
-    each chain edge moves a label's log-odds by 2 * CHAIN at most, so a text where no shape comes within that of SURE
+    each chain edge moves a label's log-odds by 2 * CHAIN at most, so a text where no token comes within that of SURE
     keeps its base labels, which is what the field would say.
     """
     labels = [t[4] for t in tokens]
     n, keys = len(tokens), occurrences(tokens)
-    even = np.log(np.full(len(LABELS), 1 / len(LABELS)))
-    unary = [potentials["unary"].get(t[2], even) for t in tokens]
+    unary = np.stack([field["unary"][f].sum(axis=0) for f in features]).astype(np.float64) if n else np.zeros((0, len(LABELS)))
+    unary -= unary.max(axis=1, keepdims=True)
+    unary -= np.log(np.exp(unary).sum(axis=1, keepdims=True))
+    # what the base patterns never match may still be personal data they miss, so its odds are bounded
+    unary = np.maximum(unary, -DOUBT)
     most = np.log(SURE / (1 - SURE)) - 4 * CHAIN
     if not keys and all(k or u[1:].max() - u[0] < most for k, u in zip(labels, unary, strict=True)):
         return labels
     shown = [{labels[i] for i in held} - {0} for held in keys]
     known = labels + [next(iter(x)) if len(x) == 1 else 0 for x in shown]
-    unary = np.stack(unary + [np.zeros(len(LABELS))] * len(keys))
+    unary = np.concatenate([unary, np.zeros((len(keys), len(LABELS)))])
     for i, k in enumerate(known):
         if k:
             unary[i] = -1e6  # no number of neighbours outvotes what is observed
             unary[i, k] = 0.0
-    edges = [e for e in edges_of(tokens) if e[2] == 0] + [(i, n + h, 1) for h, held in enumerate(keys) for i in held]
+    edges = [(i, j, "chain") for i, j in chain_of(tokens)] + [(i, n + h, "skip") for h, held in enumerate(keys) for i in held]
     belief = unary.copy()
     if edges:
         src = np.array([i for i, _, _ in edges] + [j for _, j, _ in edges])
         dst = np.array([j for _, j, _ in edges] + [i for i, _, _ in edges])
         m = len(edges)
-        pot = np.stack([potentials["edge"][kind] for _, _, kind in edges] * 2)
+        pot = np.stack([field[kind] for _, _, kind in edges] * 2)
         back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
         msg = np.zeros((2 * m, len(LABELS)))
         for _ in range(ROUNDS):
@@ -242,14 +316,14 @@ def crf_labels(tokens: list[tuple[int, int, str, str, int]], potentials: dict) -
     return [k or (int(p[i].argmax()) if p[i].max() >= SURE else 0) for i, k in enumerate(labels)]
 
 
-def find_spans(text: str | None, potentials: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find_spans(text: str | None, field: dict) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind and start."""
     text = text or ""
     if not ANY.search(text):
         return [], []
     base = base_spans(text)
     tokens = tokens_of(text, base)
-    added = [(KINDS[k - 1], t[0], t[1]) for t, k in zip(tokens, crf_labels(tokens, potentials), strict=True) if k and not t[4]]
+    added = [(KINDS[k - 1], t[0], t[1]) for t, k in zip(tokens, crf_labels(tokens, features_of(text, tokens), field), strict=True) if k and not t[4]]
     return base, sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -273,16 +347,17 @@ def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (digest), spans (digest), redacted; one row per input row.
 
     Null and empty texts have no spans; a null text stays null when redacted. Offsets count code points. Rows that
-    repeat are searched alike. Texts are searched whole, in time linear in their length but for message passing, whose
-    rounds each take time linear in the tokens of one document.
+    repeat are searched alike; an empty table gives no rows; columns but the two named are not read, so extra ones
+    can't clash. Texts are searched whole, in time linear in their length but for message passing, whose rounds each
+    take time linear in the tokens of one document.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    potentials = count_potentials(base.select("text"))
+    base = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    field = docs.sparkSession.sparkContext.broadcast(fit_field(base.select("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batched(batches):
             texts = batch.column(1).to_pylist()
-            found = [find_spans(t, potentials) for t in texts]
+            found = [find_spans(t, field.value) for t in texts]
             counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             digests = [pa.array([digest(x[c]) for x in found], pa.string()) for c in (0, 1)]
             cleaned = pa.array([redact(t, x[1]) for t, x in zip(texts, found, strict=True)], pa.string())
@@ -296,15 +371,15 @@ def redact_column(docs: DataFrame, text_col="text", chars_col="n_chars") -> Data
 
     Null texts stay null. Columns and their order stay.
     """
-    potentials = count_potentials(docs.select(F.col(text_col).cast("string").alias("text")))
+    field = docs.sparkSession.sparkContext.broadcast(fit_field(docs.select(column(text_col).cast("string").alias("text"))))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, find_spans(t, potentials)[1]) if isinstance(t, str) else None)
+        return texts.map(lambda t: redact(t, find_spans(t, field.value)[1]) if isinstance(t, str) else None)
 
-    out = docs.withColumn(text_col, cleaned(F.col(text_col)))
+    out = docs.withColumn(text_col, cleaned(column(text_col)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(column(text_col).isNotNull(), F.length(column(text_col)).cast(docs.schema[chars_col].dataType)).otherwise(column(chars_col)))
     return out
 
 
