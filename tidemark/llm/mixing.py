@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distributed_rank, materialize, table, unit_hash, word_count
+from .common import column, distributed_rank, fresh, materialize, row_keys, table, unit_hash, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -54,14 +54,15 @@ def plan_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     source every document expects target / source_size copies; documents stand by falling size, then id, so that
     rounding errors of neighbours cancel, and the prefix sum of expected copies plus one offset per source (a hash of
     seed and source) decides how often each is emitted. Reruns agree. Rows that repeat count separately; an empty
-    table gives no rows; a source without words has target 0. Sources of any size spread over all tasks.
+    table gives no rows; a source without words has target 0. Sources of any size spread over all tasks. Very long
+    texts count whole; columns but the three named are not read.
     """
     sizes = materialize(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-            F.col(source_col).isNull().cast("int").alias("no_src"),
-            word_count(F.col(text_col)).alias("size"),
+            column(id_col).alias("doc_id"),
+            F.coalesce(column(source_col).cast("string"), F.lit("")).alias("src"),
+            column(source_col).isNull().cast("int").alias("no_src"),
+            word_count(column(text_col)).alias("size"),
         ),
         "mix-sizes",
     )
@@ -76,18 +77,20 @@ def plan_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each input row once per copy taken, with `copy` numbering the copies from 1.
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", copy_col="copy", **options) -> DataFrame:
+    """The mix itself: each input row once per copy taken, with copy_col numbering the copies from 1.
 
-    Rows are matched to the plan by id; rows that share an id are emitted as often as the first of them in the plan.
+    Rows are matched to the plan by id and text, so rows that share an id, or have none, each follow their own plan;
+    rows equal in both are emitted as often as the first of them in the plan. Other columns may have any name; one
+    called copy_col is replaced.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = plan_mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    return (
-        docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .drop("__id", "__copies")
-    )
+    key, copies = (fresh(docs, x) for x in ("__row", "__copies"))
+    keyed, ids = row_keys(docs, id_col, text_col, key)
+    plan = plan_mix(keyed, key, text_col, **options)
+    if ids is not None:
+        plan = plan.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    plan = plan.where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(copies))
+    return keyed.join(plan, key).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies)
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
