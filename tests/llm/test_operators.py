@@ -99,7 +99,23 @@ def test_suffix_array(docs, hot):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
-@pytest.mark.parametrize("group", [200_000, 1])
+def test_suffix_tree_nodes():
+    """Branching nodes from the order of the leaves, against all common beginnings of the suffixes."""
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        words = rng.integers(1, 3, (12, 5))
+        leaves = words[np.lexsort(words.T[::-1])]
+        common = suffix_tree.common_depths(leaves[:, 0], leaves[:, 1:], 1)
+        want = set()
+        for d in range(1, 6):
+            for head in {tuple(x[:d]) for x in leaves.tolist()}:
+                held = [i for i, x in enumerate(leaves.tolist()) if tuple(x[:d]) == head]
+                if len(held) > 1 and (d == 5 or len({leaves[i][d] for i in held}) > 1):
+                    want.add((d, held[0], held[-1]))
+        assert set(suffix_tree.internal_nodes(common)) == want
+
+
+@pytest.mark.parametrize("group", [200_000, 30, 1])
 def test_suffix_tree(docs, group):
     rows, depth = corpus(), 13
     key = lambda d: 1 << 62 if d is None else d

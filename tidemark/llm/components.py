@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+#: Edges in a file of a round's table, at least: a small graph is written by one task, not by one for each partition.
+FILE_EDGES = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint). node, component (smallest node reachable), one row per node that has an edge.
@@ -15,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     aggregation) and joins them back, so a node of many edges is no bottleneck. Loops and repeated edges do no harm.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
-    seen = None
+    seen, files = None, 1 + now.count() // FILE_EDGES
     while True:  # every round but the last lowers an edge, so there is a last one
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -24,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: of the nodes below v, all and v itself go under the least
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
-        new = materialize(small.where("u < v").distinct(), "edges")
+        new = materialize(small.where("u < v").distinct().coalesce(files), "edges")
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = new
         if state == seen:
             break
-        seen = state
+        seen, files = state, 1 + state[0] // FILE_EDGES
     stars = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return stars.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

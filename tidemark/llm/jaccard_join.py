@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -13,17 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import batched, discard, materialize, row_keys, small_batches, table
 from .components import components
-from .repeats import WordHashes, copy_classes, finish, gram_hashes, in_bitmap, is_first, keyed, side, with_copies, word_hashes
+from .repeats import WordHashes, copy_classes, finish, gram_hashes, in_bitmap, is_first, keyed, mark_repeats, side, with_copies, word_hashes
 
 NGRAM, PERCENT = 4, 85
-#: log2 of the bits that mark tokens of two sets or more, and as many that mark frequent ones.
-MARK_BITS = 27
 #: Tokens in more sets than this are frequent and indexed in pairs, within this many groups by hash (more for large sets).
 FREQUENT, GROUPS = 32, 32
 #: Most sets, and about the most tokens, of a block; two blocks are compared at a time.
 BLOCK, BLOCK_TOKENS = 1024, 400_000
-#: Bytes of text whose tokens one bucket counts.
-BUCKET_BYTES = 16 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -155,60 +151,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def mark_tokens(firsts: DataFrame, ngram: int, frequent: int, bytes_: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of 2 ** MARK_BITS bits: tokens of two sets or more, and of more than `frequent`.
-
-    A batch sends the tokens of its sets, each once with its count and cut to 32 bits below the bucket's, in a row for
-    each bucket; a bucket counts its tokens and returns its part of the bitmaps. Buckets grow in number with the text,
-    so each counts about as much, and what reaches the driver is as large at any size of input. A token that is marked
-    for another one's sake only yields more signatures.
-    """
-    bits = min(20, max(4, math.ceil(math.log2(max(1, bytes_ / BUCKET_BYTES)))))
-    low, rest = MARK_BITS - bits, 5 + bits  # bits of a slot within its bucket, and bits beside the slot
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for b in batched(batches):
-            found = [shingles(x.as_py(), cache, ngram) for x in b.column(0)]
-            if not found:
-                continue
-            t = np.concatenate(found)
-            slot = t & np.uint64((1 << MARK_BITS) - 1)
-            packed = (slot << np.uint64(rest)) | ((t >> np.uint64(MARK_BITS)) & np.uint64((1 << rest) - 1))
-            packed, n = np.unique(packed, return_counts=True)  # by bucket, then by what is left of the token
-            bucket = (packed >> np.uint64(32)).astype(np.int32)
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            short, most = packed.astype(np.uint32), np.minimum(n, frequent + 1).astype(np.uint16)
-            pieces = [slice(a, z) for a, z in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at], pa.int32()), pa.array([short[p].tobytes() for p in pieces], pa.binary()), pa.array([b"" if most[p].max() == 1 else most[p].tobytes() for p in pieces], pa.binary())], ["bucket", "tokens", "counts"]
-            )
-
-    def count(held: pa.Table) -> pa.Table:
-        t = [np.frombuffer(x.as_buffer(), np.uint32) for x in held.column("tokens")]
-        n = [np.frombuffer(c, np.uint16) if c else np.ones(len(x), np.uint16) for x, c in zip(t, held.column("counts").to_pylist(), strict=True)]
-        t, n = np.concatenate(t), np.concatenate(n).astype(np.int32)
-        order = np.argsort(t, kind="stable")
-        t, n = t[order], n[order]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        n, slot = np.add.reduceat(n, start), t[start] >> np.uint32(32 - low)
-        marks = []
-        for often in (n > 1, n > frequent):
-            flags = np.zeros(1 << low, np.uint8)
-            flags[slot[often]] = 1
-            marks.append(np.packbits(flags, bitorder="little").tobytes())
-        return pa.table({"bucket": held.column("bucket")[:1].cast(pa.int32()), "shared": pa.array([marks[0]], pa.binary()), "frequent": pa.array([marks[1]], pa.binary())})
-
-    rows = firsts.select("body").mapInArrow(tokens, "bucket int, tokens binary, counts binary")
-    marked = rows.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, frequent binary").toArrow()
-    out = [np.zeros(1 << (MARK_BITS - 6), np.uint64) for _ in range(2)]
-    for k, *marks in zip(*(c.to_pylist() for c in marked.columns), strict=True):
-        for bitmap, part in zip(out, marks, strict=True):
-            words = np.frombuffer(part, np.uint64)
-            bitmap[k * len(words) : (k + 1) * len(words)] = words
-    return out[0], out[1]
-
-
 def block_units(members: DataFrame, contents: DataFrame, percent: int, block: int) -> DataFrame:
     """members: cluster, node, n, label, loose. unit, side (0 or 1), node, label, size, tokens: every two blocks of a
     cluster that may hold a link, but for those without a loose set.
@@ -253,7 +195,12 @@ def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int =
     and block is added up. The pairs themselves are never formed.
     """
     spark = firsts.sparkSession
-    shared_bits, frequent_bits = (spark.sparkContext.broadcast(x) for x in mark_tokens(firsts, ngram, frequent, bytes_))
+
+    def tokens() -> Callable[[bytes], np.ndarray]:
+        cache = WordHashes()
+        return lambda body: shingles(body, cache, ngram)
+
+    shared_bits, frequent_bits = (spark.sparkContext.broadcast(x) for x in mark_repeats(firsts, tokens, bytes_, frequent))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -278,7 +225,7 @@ def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int =
             two = [s[in_bitmap(shared_bits.value, s)].tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(two, pa.binary())], ["node", "size", "tokens"])
 
-    nodes = side(materialize(held.select(F.col("node").alias("doc_id")).distinct(), "candidates"))
+    nodes = side(held.select(F.col("node").alias("doc_id")).distinct())
     contents = materialize(firsts.select("doc_id", "body").join(nodes, "doc_id", "left_semi").mapInArrow(contents_, "node long, size long, tokens binary"), "contents")
 
     # 1. each set against the head of each of its signatures

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batched, materialize
 
 #: Most rows (of 24 bytes) of a counted table that is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
+#: log2 of the bits that mark repeated values, and bytes of text whose values one bucket counts.
+MARK_BITS, BUCKET_BYTES = 27, 16 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MULT2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -96,6 +102,60 @@ def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def mark_repeats(firsts: DataFrame, values: Callable[[], Callable[[bytes], np.ndarray]], bytes_: int, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of 2 ** MARK_BITS bits: values that occur twice or more, and more often than `frequent`. firsts: body;
+    values() makes the function from a body to its 64-bit values; bytes_: about the size of all bodies.
+
+    A batch sends its values, each once with its count and cut to 32 bits below the bucket's, in a row for each bucket;
+    a bucket counts its values and returns its part of the bitmaps. Buckets grow in number with the text, so each
+    counts about as much, and what reaches the driver is as large at any size of input. A value that is marked for
+    another one's sake only sends more rows to the exact stage that follows.
+    """
+    bits = min(20, max(4, math.ceil(math.log2(max(1, bytes_ / BUCKET_BYTES)))))
+    low, rest = MARK_BITS - bits, 5 + bits  # bits of a slot within its bucket, and bits beside the slot
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = values()
+        for b in batched(batches):
+            found = [of(x.as_py()) for x in b.column(0)]
+            v = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            if not len(v):
+                continue
+            slot = v & np.uint64((1 << MARK_BITS) - 1)
+            packed = (slot << np.uint64(rest)) | ((v >> np.uint64(MARK_BITS)) & np.uint64((1 << rest) - 1))
+            packed, n = np.unique(packed, return_counts=True)  # by bucket, then by what is left of the value
+            bucket = (packed >> np.uint64(32)).astype(np.int32)
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            short, most = packed.astype(np.uint32), np.minimum(n, frequent + 1).astype(np.uint32)
+            pieces = [slice(a, z) for a, z in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)]
+            counts = [b"" if most[p].max() == 1 else most[p].tobytes() for p in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([short[p].tobytes() for p in pieces], pa.binary()), pa.array(counts, pa.binary())], ["bucket", "packed", "counts"])
+
+    def count(held: pa.Table) -> pa.Table:
+        v = [np.frombuffer(x.as_buffer(), np.uint32) for x in held.column("packed")]
+        n = [np.frombuffer(c, np.uint32) if c else np.ones(len(x), np.uint32) for x, c in zip(v, held.column("counts").to_pylist(), strict=True)]
+        v, n = np.concatenate(v), np.concatenate(n).astype(np.int64)
+        order = np.argsort(v, kind="stable")
+        v, n = v[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        n, slot = np.add.reduceat(n, start), v[start] >> np.uint32(32 - low)
+        marks = []
+        for often in (n > 1, n > frequent):
+            flags = np.zeros(1 << low, np.uint8)
+            flags[slot[often]] = 1
+            marks.append(np.packbits(flags, bitorder="little").tobytes())
+        return pa.table({"bucket": held.column("bucket")[:1].cast(pa.int32()), "shared": pa.array([marks[0]], pa.binary()), "frequent": pa.array([marks[1]], pa.binary())})
+
+    rows = firsts.select("body").mapInArrow(pack, "bucket int, packed binary, counts binary")
+    marked = rows.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, frequent binary").toArrow()
+    out = [np.zeros(1 << (MARK_BITS - 6), np.uint64) for _ in range(2)]
+    for k, *marks in zip(*(c.to_pylist() for c in marked.columns), strict=True):
+        for bitmap_, part in zip(out, marks, strict=True):
+            words = np.frombuffer(part, np.uint64)
+            bitmap_[k * len(words) : (k + 1) * len(words)] = words
+    return out[0], out[1]
+
+
 def in_bitmap(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     s = h & np.uint64(len(words) * 64 - 1)
     return (words[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1) == 1

@@ -1,30 +1,29 @@
-"""Repeated byte strings by sorting a sparse cover of the suffixes.
+"""Repeated byte strings by a cover of the suffixes.
 
 A cover is a set of text positions such that any two equal strings of `length` bytes hold positions of it at equal
-offsets, the property a difference cover gives. Sorting the suffixes at covered positions then orders all that
-matter: sampled tuples get names (hashes of their bytes), names recur over longer and longer prefixes (tuple, then
-window), the remaining suffixes are merged as (bytes before a sampled suffix, its name), and neighbours in that order
-are compared on their first `length` bytes. The cover here is chosen by content (the least tuple of a window) and not
-by the residues of positions: it has 0.5 % of all positions where residues modulo 3 have 67 %, see the README.
+offsets: the property of a difference cover. This one is chosen by content (the least 32-byte tuple of each window, a
+synchronizing set) and not by the residues of positions; it has 0.5 % of all positions, where a difference cover that
+serves 400 bytes has 5 % at least. Sampled tuples are named by their hashes and counted; names that occur once end
+there. The windows around the positions of one name are brought together, sorted by the hashes of their whole `length`
+bytes, and neighbours in that order are compared. Names are not ranks, nothing recurses on them and no complete suffix
+array is merged: the README gives the figures.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .repeats import bitmap, copy_classes, finish, in_bitmap, is_first, keyed, runs_of, side, with_copies
+from .common import batched, materialize, small_batches, table
+from .repeats import copy_classes, finish, in_bitmap, is_first, keyed, mark_repeats, runs_of, side, with_copies
 
 LENGTH, TUPLE = 400, 32
 #: Bytes of text hashed at a time; at most 2 ** POS_BITS, as positions share a word with tuple hashes.
 SEGMENT, POS_BITS = 1 << 20, 21
-#: log2 of the bits that mark repeated names (8 MB).
-NAME_BITS = 26
 #: Suffixes of one name that one task sorts (each of at most 2 * LENGTH bytes); beyond, windows are counted by Spark.
 HOT = 50_000
 BASE = 0x5851F42D4C957F2D
@@ -99,32 +98,27 @@ def _same_windows(bodies: list[bytes], length: int) -> list[np.ndarray]:
     return np.split(twice, np.cumsum(sizes)[:-1])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, bytes_: int, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, k1, lo, hi: starts lo to hi of windows that occur elsewhere; docs: doc_id, k1, body, distinct texts."""
     spark = docs.sparkSession
 
-    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [n for body in b.column(0).to_pylist() if len(body) >= length for n, _, _ in cover(body, length)]
-            names, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(names), pa.array(counts, pa.int64())], ["name", "n"])
+    def all_names() -> Callable[[bytes], np.ndarray]:
+        none = [np.zeros(0, np.uint64)]
+        return lambda body: np.concatenate(none + [n for n, _, _ in cover(body, length)])
 
-    counted = docs.select("body").mapInArrow(census, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = materialize(counted, "names")
-    marks = spark.sparkContext.broadcast(bitmap(counted, "name", NAME_BITS))
-    hot_names = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in counted.where(F.col("n") > hot).select("name").collect()], dtype=np.int64)))  # at most suffixes / hot rows
+    marks, hot_marks = (spark.sparkContext.broadcast(x) for x in mark_repeats(docs, all_names, bytes_, hot))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = [[], [], [], [], []]
+        for b in batched(batches):
+            rows: list[list] = [[], [], [], [], [], []]
             for doc, key, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(body) < length:
-                    continue
                 for names, lo, hi in cover(body, length):
+                    often = in_bitmap(hot_marks.value, names)
                     for i in np.flatnonzero(in_bitmap(marks.value, names)):
-                        for col, v in zip(rows, (int(names[i : i + 1].view(np.int64)[0]), doc, key, int(lo[i]), body[lo[i] : hi[i] + length]), strict=True):
+                        for col, v in zip(rows, (int(names[i : i + 1].view(np.int64)[0]), bool(often[i]), doc, key, int(lo[i]), body[lo[i] : hi[i] + length]), strict=True):
                             col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], ["name", "doc_id", "k1", "lo", "body"])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["name", "hot", "doc_id", "k1", "lo", "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by name; whole groups of a name are compared, some thousand suffixes at a time."""
@@ -156,25 +150,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         if held[0]:
             yield flush(*held)
 
-    kind = "name long, doc_id long, k1 long, lo long, body binary"
     spans = "doc_id long, k1 long, lo long, hi long"
-    sampled = docs.select("doc_id", "k1", "body").mapInArrow(suffixes, kind)
-    if not len(hot_names.value):
-        return sampled.repartition("name").sortWithinPartitions("name").mapInArrow(compare, spans)
+    row = ["name", "doc_id", "k1", "lo", "body"]
+    sampled = docs.select("doc_id", "k1", "body").mapInArrow(suffixes, "name long, hot boolean, doc_id long, k1 long, lo long, body binary")
+    if not hot_marks.value.any():
+        return sampled.select(*row).repartition("name").sortWithinPartitions("name").mapInArrow(compare, spans)
 
     # names of more suffixes than a task sorts: their windows are hashed where they are and counted by partial sums
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, key, lo, body in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            for doc, key, lo, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = rolling(np.frombuffer(body, np.uint8), length)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(np.arange(lo, lo + n), pa.int64())], ["h", "doc_id", "k1", "lo"])
 
-    is_hot = F.col("name").isin([int(x) for x in hot_names.value])
-    usual = sampled.where(~is_hot).repartition("name").sortWithinPartitions("name").mapInArrow(compare, spans)
-    wide = materialize(sampled.where(is_hot).mapInArrow(windows, "h long, doc_id long, k1 long, lo long"), "hot-windows")
-    again = wide.groupBy("h").count().where("count > 1").select("h")
-    return usual.unionByName(wide.join(again, "h").select("doc_id", "k1", "lo", F.col("lo").alias("hi")))
+    sampled = materialize(sampled, "suffixes")
+    usual = sampled.where("not hot").select(*row).repartition("name").sortWithinPartitions("name").mapInArrow(compare, spans)
+    wide = materialize(sampled.where("hot").select(*row[1:]).mapInArrow(windows, "h long, doc_id long, k1 long, lo long"), "hot-windows")
+    again = materialize(wide.groupBy("h").count().where("count > 1").select("h"), "hot-again")
+    return usual.unionByName(wide.join(side(again), "h").select("doc_id", "k1", "lo", F.col("lo").alias("hi")))
 
 
 def _unite(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
@@ -194,14 +188,16 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     lose all of theirs and are represented by one text in the search. Rows that share an id but not a text are kept
     apart by the text's key. Matches never cross documents. Equality of windows is that of 64-bit hashes under one
     name. Texts are hashed in segments, groups of one name larger than `hot` are counted by partial sums: no step
-    gathers an unbounded group.
+    gathers an unbounded group. Columns but the two named are not read; an empty table gives no rows.
     """
     base = keyed(docs, id_col, text_col)
     classes = copy_classes(base.select("doc_id", "k1", "k2").where(F.col("k1").isNotNull()))
     flagged = with_copies(base, classes)
     alone = flagged.where(is_first())
-    spans = repeated_spans(alone.select("doc_id", "k1", "body"), length, hot)
-    spans = materialize(spans.groupBy("doc_id", "k1").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
+    bytes_ = base.agg(F.sum(F.length("body"))).first()[0] or 0
+    with small_batches(docs.sparkSession):
+        spans = repeated_spans(alone.select("doc_id", "k1", "body"), bytes_, length, hot)
+        spans = materialize(spans.groupBy("doc_id", "k1").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
     keys = spans.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("k1") == F.col("__k"))
     none = F.lit(None).cast("array<bigint>")
@@ -212,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     copied = flagged.where("copies > 1").select("doc_id", "body", "copies", none.alias("lo"), none.alias("hi"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batched(batches):
             out: list[list] = [[], [], [], []]
             for body, copies, lo, hi in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 gone = [(0, len(body))] if copies > 1 and len(body) >= length else _unite(lo or [], [z + length for z in hi or []])
