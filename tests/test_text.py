@@ -50,4 +50,7 @@ def test_kinds_and_capture(spark):
 
 
 def test_conflict_order():
-    assert conflict_order([("old", 1, ["newer"]), ("other", 5, []), ("newer", 2, ["old"])]) == ["newer", "old", "other"]
+    assert conflict_order([("old", 1, ["newer"]), ("other", 5, []), ("newer", 2, ["old"])]) == ["newer", "other", "old"]
+    assert conflict_order([("a", 1, ["b"]), ("b", 1, [])]) == ["a", "b"] and conflict_order([("b", 2, ["a"]), ("a", 1, [])]) == ["b", "a"]
+    # the widest pair of the first place goes first, and each hit moves once
+    assert conflict_order([("a", 1, ["b", "c"]), ("b", 2, []), ("c", 3, ["b"])]) == ["c", "b", "a"]

@@ -7,13 +7,14 @@ import unicodedata
 from collections import Counter
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions.text import CJK, MINHASH_SEEDS, STOP_WORDS, estimate_tokens, features_of, fnv1a, fuzzy_variants, nfkc_lower, tokenize
 from ..plans.tables import checkpointed
-from ..schema import is_superseded, superseded_by
+from ..schema import conflict_peers, is_superseded, superseded_by
 
 
 @dataclass(frozen=True)
@@ -273,18 +274,35 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
 
 
 def conflict_order(hits: list[tuple[str, int, list[str]]]) -> list[str]:
-    """Order of ids (id, updated_at, conflicting ids; best first) in which of two conflicting hits the newer comes
-    first: each newer id that stands below an older one moves up to just before it, once."""
-    order = [h[0] for h in hits]
+    """Order of ids (id, updated_at, conflicting ids; best first) in which of two conflicting hits the newer comes first.
+
+    Where an older hit stands above a newer one that contradicts it, the two change places. Pairs go by the older one's
+    place, wider ones first; a hit changes places once, and what stands between keeps its order.
+    """
+    place = {h[0]: k for k, h in enumerate(hits)}
     when = {h[0]: h[1] for h in hits}
-    for a, _, peers in hits:
-        for b in peers:
-            if b in when and when[b] > when[a] and order.index(b) > order.index(a):
-                order.remove(b)
-                order.insert(order.index(a), b)
+    pairs = {tuple(sorted((h[0], peer))) for h in hits for peer in h[2] if peer in place and peer != h[0]}
+    turned = ((*sorted((place[a], place[b])),) for a, b in pairs if (when[a] - when[b]) * (place[a] - place[b]) > 0)
+    order, moved = [h[0] for h in hits], set()
+    for above, below in sorted(turned, key=lambda x: (x[0], -x[1])):
+        if not moved & {above, below}:
+            order[above], order[below] = order[below], order[above]
+            moved |= {above, below}
     return order
 
 
+def in_conflict_order(hits: DataFrame, by: str = "qid") -> DataFrame:
+    """hits: by, id, rank, updated_at, tags (at most the limit of a query each). by, id and the rank in conflict_order()."""
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        ids = conflict_order([(i, t, list(p)) for i, t, p in zip(pdf["id"], pdf["updated_at"], pdf["peers"], strict=True)])
+        return pd.DataFrame({by: pdf[by].iloc[0], "id": ids, "rank": range(1, len(ids) + 1)})
+
+    peers = hits.select(by, "id", "rank", "updated_at", conflict_peers(F.col("tags")).alias("peers"))
+    return peers.groupBy(by).applyInPandas(order, f"{by} string, id string, rank int")
+
+
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """hits: qid, id, rank; relevant: qid, id. qid, recall, mrr, ndcg at k."""
     judged = relevant.select("qid", "id").distinct().join(hits.where(F.col("rank") <= k), ["qid", "id"], "left")

@@ -364,7 +364,11 @@ def _session_lines(spark, sf_dir):
     return c.select(F.col("conv_id").cast("string").alias("label"), F.col("turn").alias("line_no"), F.when(F.col("role") == "user", user).otherwise(other).alias("line"))
 
 
-@query("SELECT conv_id::VARCHAR AS label, turn AS line_no, CASE WHEN role IN ('user', 'assistant') THEN 'text' ELSE 'unhandled' END AS status, CASE WHEN role IN ('user', 'assistant') THEN role = 'user' END AS is_user, CASE WHEN role IN ('user', 'assistant') THEN text END AS text FROM conversations")
+@query(
+    """WITH c AS (SELECT *, role IN ('user', 'assistant') AND trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' AS says FROM conversations)
+    SELECT conv_id::VARCHAR AS label, turn AS line_no, CASE WHEN says THEN 'text' ELSE 'unhandled' END AS status, CASE WHEN says THEN role = 'user' END AS is_user,
+      CASE WHEN says THEN trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS text FROM c"""
+)
 def s8_session_text(spark, sf_dir):
     return documents.session_text(_session_lines(spark, sf_dir))
 

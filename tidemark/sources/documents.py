@@ -38,6 +38,10 @@ def split_document(docs: DataFrame) -> DataFrame:
     return joined.select("label", (F.row_number().over(Window.partitionBy("label").orderBy("grp")) - 1).alias("block_no"), block.alias("block"))
 
 
+#: What JavaScript's trim() takes off.
+BLANKS = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def join_blocks(value: object) -> str:
     """Text of nested content: texts one after the other, a blank only between two ASCII word characters."""
     if isinstance(value, str):
@@ -59,7 +63,7 @@ def join_blocks(value: object) -> str:
 
 def session_text(lines: DataFrame) -> DataFrame:
     """lines: label, line_no, line. label, line_no, status (text, corrupt, unhandled), is_user, text of session records;
-    nesting has no bound, so parsing runs in Arrow batches."""
+    a record without text but blanks is unhandled. Nesting has no bound, so parsing runs in Arrow batches."""
     out = T.StructType([T.StructField("label", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("status", T.StringType()), T.StructField("is_user", T.BooleanType()), T.StructField("text", T.StringType())])
 
     def run(batches):
@@ -73,14 +77,11 @@ def session_text(lines: DataFrame) -> DataFrame:
                     continue
                 data = x.get("data") if isinstance(x, dict) and isinstance(x.get("data"), dict) else {}
                 kind = x.get("type") if isinstance(x, dict) else None
-                if kind == "user/message":
-                    rows.append((label, no, "text", True, join_blocks(data.get("content"))))
-                elif kind == "assistant/message":
-                    inner = data.get("message") if isinstance(data.get("message"), dict) else {}
-                    content = inner.get("content")
-                    rows.append((label, no, "text", False, join_blocks(content if content is not None else data.get("content"))))
-                else:
-                    rows.append((label, no, "unhandled", None, None))
+                said = data.get("content")
+                if kind == "assistant/message" and isinstance(data.get("message"), dict) and data["message"].get("content") is not None:
+                    said = data["message"]["content"]
+                text = join_blocks(said).strip(BLANKS) if kind in ("user/message", "assistant/message") else ""
+                rows.append((label, no, "text", kind == "user/message", text) if text else (label, no, "unhandled", None, None))
             yield pd.DataFrame(rows, columns=out.fieldNames())
 
     return lines.select("label", "line_no", "line").mapInPandas(run, out)
