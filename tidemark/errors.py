@@ -1,6 +1,7 @@
 """Errors of the engine; each carries a code for callers that must tell them apart."""
 
-CODES = ("INVALID_ARGUMENT", "NOT_FOUND", "SENSITIVE_CONTENT", "STORE_LOCKED", "STORE_CORRUPT", "WRONG_PASSPHRASE", "UNSUPPORTED")
+# The codes callers know.
+CODES = ("EMPTY_CONTENT", "SENSITIVE_CONTENT", "STORE_CLOSED", "STORE_WRITE_FAILED", "STORE_READ_FAILED", "NOT_FOUND", "INTERNAL")
 
 
 class EngineError(Exception):

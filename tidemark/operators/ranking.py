@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, OrderedDict
 from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import score as S
 from ..functions.text import CJK, MINHASH_SEEDS, STOP_WORDS, estimate_tokens, features_of, fnv1a, fuzzy_variants, nfkc_lower, tokenize
-from ..plans.tables import checkpointed
+from ..plans.tables import checkpointed, ranked
 from ..schema import conflict_peers, is_superseded, superseded_by
 
 
@@ -71,33 +73,82 @@ def fnv(text: str, seed: int = 0) -> int:
     return h
 
 
-@dataclass
 class Index:
-    """docs: id, len, and the entry's columns; postings: id, token, tf; df: token, df; stats: one row n, avgdl;
-    features: id, feature, n (built when asked for)."""
+    """What queries read of a corpus, made once: each part is a table in the shared folder, written when first asked for.
 
-    docs: DataFrame
-    postings: DataFrame
-    df: DataFrame
-    stats: DataFrame
-    tokens: DataFrame
+    docs: id, len, cost, tokens and the entry's columns without its content. postings: token, id, tf, len, sorted by
+    token, so a query's tokens prune the rest. df: token, df. stats: one row n, avgdl. norms: id, norm (lengths of the
+    weight vectors). features: feature, id, sorted by feature. signatures: id, size (distinct features), minhash.
+    """
+
+    def __init__(self, entries: DataFrame, nfkc: bool = True):
+        self.entries, self.nfkc = entries, nfkc
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        text = F.concat_ws(" ", F.col("content"), F.array_join("tags", " "))
+        cost = estimate_tokens(F.concat_ws(" ", "kind", "content"))
+        rows = self.entries.withColumns({"tokens": tokenize(nfkc_lower(text) if self.nfkc else F.lower(text)), "cost": cost}).drop("content")
+        return checkpointed(rows.withColumn("len", F.size("tokens")))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        # dealt by token alone, which also serves the count of each (token, id)
+        rows = self.docs.select(F.explode("tokens").alias("token"), "id", "len").repartition("token")
+        return checkpointed(rows.groupBy("token", "id", "len").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("token"))
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return checkpointed(self.postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return checkpointed(self.docs.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")))
+
+    @cached_property
+    def norms(self) -> DataFrame:
+        w = (1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))
+        rows = self.postings.join(self.df, "token").crossJoin(F.broadcast(self.stats)).select("id", w.alias("w"))  # one row
+        return checkpointed(rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0"))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        # features of the distinct tokens, made once for each token of the corpus
+        of = self.df.select("token", F.explode(F.array_distinct(features_of(F.array("token")))).alias("feature"))
+        rows = self.postings.select("token", "id").join(of, "token").select("feature", "id").repartition("feature").distinct()
+        return checkpointed(rows.sortWithinPartitions("feature"))
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        hashed = self.features.select("feature").distinct().select("feature", *[fnv1a(F.col("feature"), s).alias(f"h{k}") for k, s in enumerate(MINHASH_SEEDS)])
+        least = [F.min(f"h{k}").alias(f"h{k}") for k in range(len(MINHASH_SEEDS))]
+        rows = self.features.join(hashed, "feature").groupBy("id").agg(F.count(F.lit(1)).alias("size"), *least)
+        return checkpointed(rows.select("id", "size", F.array(*[f"h{k}" for k in range(len(MINHASH_SEEDS))]).alias("minhash")))
 
 
 def build_index(entries: DataFrame, nfkc: bool = True) -> Index:
     """Index of content and tags. nfkc=False lower-cases alone, for text known to be in NFKC."""
-    text = F.concat_ws(" ", F.col("content"), F.array_join("tags", " "))
-    tokens = entries.withColumn("tokens", tokenize(nfkc_lower(text) if nfkc else F.lower(text)))
-    docs = tokens.withColumn("len", F.size("tokens"))
-    postings = tokens.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    stats = docs.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl"))
-    return Index(docs.drop("tokens"), postings, df, stats, tokens)
+    return Index(entries, nfkc)
+
+
+class IndexCache:
+    """Indexes by name, kept as long as the revision of what they were made of stays the same."""
+
+    def __init__(self, most: int = 16):
+        self.most, self.held = most, OrderedDict()
+
+    def get(self, name: tuple, revision: object, make) -> Index:
+        old = self.held.pop(name, None)
+        self.held[name] = old if old is not None and old[0] == revision else (revision, make())
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return self.held[name][1]
 
 
 def bm25(index: Index, queries: DataFrame, k1: float = S.K1, b: float = S.B) -> DataFrame:
     """queries: qid, token, qtf. qid, id, bm25. Only postings of query tokens are joined and summed."""
     terms = queries.join(index.df, "token").crossJoin(F.broadcast(index.stats))  # one row
-    hits = index.postings.join(terms, "token").join(index.docs.select("id", "len"), "id")
+    hits = index.postings.join(terms, "token")
     part = S.idf(F.col("n"), F.col("df")) * S.tf_saturation(F.col("tf"), F.col("len"), F.col("avgdl"), k1, b) * F.col("qtf")
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("bm25"))
 
@@ -108,7 +159,7 @@ def fuzzy(index: Index, tokens: list[str], k1: float = S.K1, b: float = S.B) ->
     variants = sorted({v for w in words for v in fuzzy_variants(w) if len(v) >= 2 and v not in STOP_WORDS})
     spark = index.df.sparkSession
     terms = spark.createDataFrame([(v,) for v in variants], "token string").join(index.df, "token").crossJoin(F.broadcast(index.stats))
-    hits = index.postings.join(F.broadcast(terms), "token").join(index.docs.select("id", "len"), "id")  # about 55 variants a letter
+    hits = index.postings.join(F.broadcast(terms), "token")  # about 55 variants a letter
     part = S.FUZZY_WEIGHT * S.idf(F.col("n"), F.col("df")) * S.tf_saturation(F.col("tf"), F.col("len"), F.col("avgdl"), k1, b)
     return hits.groupBy("id").agg(F.sum(part).alias("fuzzy"))
 
@@ -126,36 +177,31 @@ def coverage(index: Index, tokens: list[str], prescreen: bool = True) -> DataFra
     both stay under 0.30 is screened; the ranker then drops it altogether.
     """
     q = query_features(tokens)
-    docs = index.tokens.select("id", F.array_distinct(features_of(F.col("tokens"))).alias("f"))
-    wanted = F.array(*[F.lit(x) for x in q]) if q else F.array().cast("array<string>")
-    share = F.size(F.array_intersect("f", wanted)) / F.lit(max(1, len(q)))
-    out = docs.withColumn("coverage", share)
-    if not prescreen or len(q) <= S.SAMPLE:
-        return out.select("id", "coverage", F.lit(False).alias("screened"))
     sample = sorted(q, key=lambda x: (fnv(x, MINHASH_SEEDS[0]), x))[: S.SAMPLE]
+    held = index.features.where(F.col("feature").isin(q)).groupBy("id").agg(F.count(F.lit(1)).alias("both"), F.count_if(F.col("feature").isin(sample)).alias("some"))
+    zero = F.lit(0).cast("long")
+    docs = index.docs.select("id").join(held, "id", "left").select("id", F.coalesce("both", zero).alias("both"), F.coalesce("some", zero).alias("some"))
+    share = F.col("both") / F.lit(max(1, len(q)))
+    if not prescreen or len(q) <= S.SAMPLE:
+        return docs.select("id", share.alias("coverage"), F.lit(False).alias("screened"))
     mine = [min(fnv(x, s) for x in q) for s in MINHASH_SEEDS]
-    equal = F.aggregate(F.zip_with(minhash(F.col("f")), F.array(*[F.lit(m) for m in mine]), lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
+    equal = F.aggregate(F.zip_with("minhash", F.array(*[F.lit(m) for m in mine]), lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
     j = F.coalesce(equal, F.lit(0)) / len(MINHASH_SEEDS)
-    estimate = F.least(F.lit(1.0), j * (len(q) + F.size("f")) / (1 + j) / len(q))
-    sampled = F.size(F.array_intersect("f", F.array(*[F.lit(x) for x in sample]))) / len(sample)
-    return out.select("id", "coverage", ((estimate < S.PRESCREEN) & (sampled < S.PRESCREEN)).alias("screened"))
-
-
-def vectors(index: Index) -> DataFrame:
-    """id, token, w, norm: (1 + ln tf) * ln(1 + N / df) and the vector's length; documents without weight are out."""
-    w = (1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))
-    rows = index.postings.join(index.df, "token").crossJoin(F.broadcast(index.stats)).select("id", "token", w.alias("w"))
-    return rows.join(rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0"), "id")
+    estimate = F.least(F.lit(1.0), j * (len(q) + F.coalesce("size", zero)) / (1 + j) / len(q))
+    sampled = F.col("some") / len(sample)
+    return docs.join(index.signatures, "id", "left").select("id", share.alias("coverage"), ((estimate < S.PRESCREEN) & (sampled < S.PRESCREEN)).alias("screened"))
 
 
 def vector_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """queries: qid, token, qtf. qid, id, cosine > 0, exact: each query's tokens are joined with the postings."""
+    """queries: qid, token, qtf. qid, id, cosine > 0, exact: each query's tokens are joined with the postings. Weights are
+    (1 + ln tf) * ln(1 + N / df); documents without weight are out."""
     idf = F.log(1 + F.col("n") / F.coalesce("df", F.lit(1)))
     idf = F.when(F.col("df").isNull(), F.log(1 + F.col("n"))).otherwise(idf)
-    q = queries.join(index.df, "token", "left").crossJoin(F.broadcast(index.stats)).select("qid", "token", ((1 + F.log("qtf")) * idf).alias("qw"))
+    q = queries.join(index.df, "token", "left").crossJoin(F.broadcast(index.stats)).select("qid", "token", idf.alias("idf"), ((1 + F.log("qtf")) * idf).alias("qw"))
     lengths = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = vectors(index).join(q, "token").groupBy("qid", "id", "norm").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(lengths, "qid").select("qid", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine")).where("cosine > 0")
+    dots = index.postings.join(q, "token").groupBy("qid", "id").agg(F.sum((1 + F.log("tf")) * F.col("idf") * F.col("qw")).alias("dot"))
+    scored = dots.join(index.norms, "id").join(lengths, "qid")
+    return scored.select("qid", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("cosine")).where("cosine > 0")
 
 
 def top_k(scores: DataFrame, value: str, k: int, by: str = "qid") -> DataFrame:
@@ -241,7 +287,7 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
         rows = rows.join(best, "id", "left").withColumn("vector", F.coalesce("vector", zero))
     else:
         rows = rows.withColumn("vector", zero)
-    keep = ["id", "kind", "content", "tags", "created_at", "screened", *LINES, "base"]
+    keep = ["id", "tags", "created_at", "cost", "screened", *LINES, "base"]
     # an entry no line knows can't score; the others are few, and a table of them is read by each line's ranking
     rows = rows.withColumn("base", line_base(now, o)).withColumn("screened", F.coalesce("screened", F.lit(False))).select(*keep)
     rows = checkpointed(rows.where(" or ".join(f"{line} > 0" for line in LINES)))
@@ -249,14 +295,13 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
     if o.fusion == "rrf":
         # a screened document keeps the lines that do not read its text
         rows = rows.withColumns({c: F.when(F.col("screened"), zero).otherwise(F.col(c)) for c in ("bm25", "fuzzy", "semantic")})
-        total = zero
-        parts = {}
-        for line in LINES:
-            # documents without the line are out of the window, which ranks no more rows than have it
-            ranked = rows.where(F.col(line) > 0).select("id", F.row_number().over(Window.orderBy(F.desc(line), "id")).alias(f"rank_{line}"))
-            rows = rows.join(ranked, "id", "left")
-            parts[line] = F.coalesce(1 / (S.RRF_K + F.col(f"rank_{line}")), zero)
-            total = total + parts[line]
+        # every line ranks the entries it knows; all lines are ranked in one pass that brings no line into one task
+        each = F.explode(F.array(*[F.struct(F.lit(line).alias("line"), F.col(line).alias("value")) for line in LINES])).alias("e")
+        places = ranked(rows.select("id", each).select("id", "e.*").where("value > 0"), ["line"], [F.desc("value"), F.col("id")])
+        shares = places.groupBy("id").agg(*[F.max(F.when(F.col("line") == line, 1 / (S.RRF_K + F.col("rank")))).alias(f"rrf_{line}") for line in LINES])
+        rows = rows.join(shares, "id", "left")
+        parts = {line: F.coalesce(f"rrf_{line}", zero) for line in LINES}
+        total = reduce(operator.add, parts.values())
         rows = rows.withColumn("score", F.col("base") * total)
     else:
         rows = rows.where(~F.col("screened"))
@@ -265,12 +310,12 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
         parts = {"bm25": F.col("bm25"), "fuzzy": F.col("fuzzy"), "semantic": sem if o.semantic_boost else F.when(lexical > 0, zero).otherwise(sem), "graph": o.graph_weight * F.col("graph"), "infer": o.infer_weight * F.col("infer"), "vector": o.vector_weight * F.col("vector")}
         rows = rows.withColumn("score", F.col("base") * core + F.col("base") * (parts["graph"] + parts["infer"] + parts["vector"]))
     why = F.struct(*[parts[k].alias(k) for k in LINES], F.col("base").alias("base"))
-    hits = rows.where("score > 0").select("id", "score", "tags", "created_at", why.alias("why"), estimate_tokens(F.concat_ws(" ", "kind", "content")).alias("cost"))
+    hits = rows.where("score > 0").select("id", "score", "tags", "created_at", why.alias("why"), "cost")
     gone = hits.select(F.col("id"), F.explode(superseded_by(F.col("tags"))).alias("by")).join(hits.select(F.col("id").alias("by")), "by", "left_semi").select("id").distinct()
-    ranked = hits.join(gone, "id", "left_anti").withColumn("qid", F.lit("q"))
-    ranked = could_fit(ranked, o.limit, o.max_tokens, [F.desc("score"), F.col("created_at"), F.col("id")])
-    kept = fill_budget(ranked, o.limit, o.max_tokens)
-    return kept.join(ranked, ["qid", "id"]).select("id", F.col("place").alias("rank"), "score", is_superseded(F.col("tags")).alias("superseded"), "why")
+    standing = hits.join(gone, "id", "left_anti").withColumn("qid", F.lit("q"))
+    able = could_fit(standing, o.limit, o.max_tokens, [F.desc("score"), F.col("created_at"), F.col("id")])
+    kept = fill_budget(able, o.limit, o.max_tokens)
+    return kept.join(able, ["qid", "id"]).select("id", F.col("place").alias("rank"), "score", is_superseded(F.col("tags")).alias("superseded"), "why")
 
 
 def conflict_order(hits: list[tuple[str, int, list[str]]]) -> list[str]:

@@ -7,23 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.score import DAY, heat, significance
 from ..functions.text import clean_tags, content_hash, js_trim
-from ..schema import ENTRY_COLUMNS, KINDS, LOG, SOURCES, is_superseded
-from ..sources.log import live
+from ..plans.tables import ranked
+from ..schema import ENTRY_COLUMNS, KINDS, LAYER, LOG, SOURCES, is_superseded
+from ..sources.log import live, snapshot
 
 MIN_LINES, LIVE_SHARE = 64, 2
 
 
 def _append(rows: DataFrame, start: int, order: list) -> DataFrame:
     """rows as log lines numbered from start in the given order, without one task that sees them all."""
-    from pyspark.sql import types as T
-
-    session = rows.sparkSession
-    ordered = rows.orderBy(*order)
-    names = ordered.columns
-    numbered = session.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)), T.StructType([*ordered.schema.fields, T.StructField("seq", T.LongType())])
-    )
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in LOG.fields if f.name not in [*names, "seq"]}
+    numbered = ranked(rows, [], [F.col(c) for c in order], "seq").withColumn("seq", F.col("seq") + (start - 1))
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in LOG.fields if f.name not in numbered.columns}
     return numbered.withColumns(missing).select(*LOG.fieldNames())
 
 
@@ -52,6 +46,18 @@ def compact(log: DataFrame) -> DataFrame:
     return _append(live(log).select(*ENTRY_COLUMNS, "ord", F.lit("E").alias("op")).drop("at"), 0, ["created_at", "ord"])
 
 
+def export_all(log: DataFrame) -> DataFrame:
+    """Standing entries as a snapshot lists them, ready to be inserted elsewhere."""
+    return snapshot(live(log)).select(*ENTRY_COLUMNS)
+
+
+def verify_compact(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: entries that compaction lost, made up or changed, all 0 if it kept what stands."""
+    pick = lambda log, name: live(log).select("id", F.struct(*ENTRY_COLUMNS).alias(name))
+    both = pick(before, "was").join(pick(after, "now"), "id", "full_outer")
+    return both.agg(F.count_if(F.col("now").isNull()).alias("lost"), F.count_if(F.col("was").isNull()).alias("made"), F.count_if(F.col("was").isNotNull() & F.col("now").isNotNull() & (F.col("was") != F.col("now"))).alias("changed"))
+
+
 def needs_compaction(lines: int, entries: int) -> bool:
     return lines >= MIN_LINES and lines > LIVE_SHARE * entries
 
@@ -61,14 +67,16 @@ def heat_rows(hits: DataFrame, now: int) -> DataFrame:
     return hits.select(*ENTRY_COLUMNS).dropDuplicates(["id"]).withColumns({"access_count": F.col("access_count") + 1, "last_access_at": F.lit(now).cast("long")})
 
 
-def make_entries(candidates: DataFrame, now: int, max_chars: int = 1000, prefix: str = "", suffix=None) -> DataFrame:
+def make_entries(candidates: DataFrame, now: int, max_chars: int = 1000, prefix: str = "", suffix=None, keep: list | None = None) -> DataFrame:
     """Entries of candidates (kind, content, tags, source; others optional). The id hashes the whole trimmed text, the
-    content is cut; suffix (8 characters) tells equal texts apart."""
+    content is cut; suffix (8 characters) tells equal texts apart. keep: columns of the candidates to take over, such as
+    an id they have already."""
     text = js_trim(F.col("content"))
     parts = ([F.lit(prefix)] if prefix else []) + [content_hash(text)] + ([suffix] if suffix is not None else [])
     has = lambda c, kind: F.col(c) if c in candidates.columns else F.lit(None).cast(kind)
+    id_ = [] if "id" in (keep or ()) else [F.concat_ws("-", *parts).alias("id")]
     return candidates.select(
-        F.concat_ws("-", *parts).alias("id"), "kind", F.substring(text, 1, max_chars).alias("content"), clean_tags(F.col("tags")).alias("tags"), "source", has("session_id", "string").alias("session_id"), has("workspace", "string").alias("workspace"),
+        *(keep or ()), *id_, "kind", F.substring(text, 1, max_chars).alias("content"), clean_tags(F.col("tags")).alias("tags"), "source", has("session_id", "string").alias("session_id"), has("workspace", "string").alias("workspace"),
         F.lit(now).cast("long").alias("created_at"), F.lit(now).cast("long").alias("updated_at"), F.lit(0).cast("long").alias("access_count"), F.lit(None).cast("long").alias("last_access_at"),
     )
 
@@ -94,6 +102,18 @@ def evict(entries: DataFrame, most: int, now: int) -> DataFrame:
     return pool.orderBy(F.desc("gone"), "value", "id").limit(over).drop("gone")
 
 
+def prune(entries: DataFrame, now: int, ttl_days: float = 0, most: int = 0) -> DataFrame:
+    """id, reason (expired, evicted) of what one round of pruning removes; what is both is expired."""
+    old = expired(entries, now, ttl_days).select("id", F.lit("expired").alias("reason"))
+    return old.unionByName(evict(entries, most, now).join(old, "id", "left_anti").select("id", F.lit("evicted").alias("reason")))
+
+
+def layer_counts(entries: DataFrame) -> DataFrame:
+    """One row: distilled entries of either layer."""
+    layer = lambda name: F.count_if(F.exists("tags", lambda t: t == LAYER + name)).alias(name)
+    return entries.agg(layer("abstract"), layer("procedural"))
+
+
 def summarize(entries: DataFrame) -> DataFrame:
     """total, a count for each kind and source, oldest and newest created_at, superseded."""
     return entries.agg(
@@ -114,9 +134,9 @@ def hot_cold(entries: DataFrame, now: int) -> DataFrame:
 
 
 def fingerprint(entries: DataFrame) -> DataFrame:
-    """One hash over all entries, for telling whether an index still fits; order does not matter, and neither do
-    accesses. Hashes of rows are summed, so no list of them is gathered."""
-    row = F.conv(F.substring(F.sha2(F.to_json(F.struct("id", "kind", "content", "tags", "source", "workspace", "created_at", "updated_at")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    """One hash over the ids, contents and tags of all entries, for telling whether an index still fits; order does
+    not matter, and neither do accesses. Hashes of rows are summed, so no list of them is gathered."""
+    row = F.conv(F.substring(F.sha2(F.to_json(F.struct("id", "content", "tags")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return entries.agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.coalesce(F.sum(row), F.lit(0)).cast("string")), 256).alias("fingerprint"))
 
 

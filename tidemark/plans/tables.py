@@ -38,3 +38,15 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str = "ra
     before = spread.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order))
     return spread.withColumn("__own", own).join(before.drop("__n"), ["__part", *group]).withColumn(rank, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
+def stamp(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files df reads: its revision, without reading them."""
+    spark = df.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in sorted(df.inputFiles()):
+        at = path(spark._jvm.java.net.URI(name))
+        status = at.getFileSystem(conf).getFileStatus(at)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
