@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, table
+from .common import ASCII_LOWER, ASCII_UPPER, column, materialize, table
+from .repeats import side
 
 #: (verdict, host, path): fits the host, its subdomains and every path that starts so; the longest rule wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -15,6 +14,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 Z, GOOD = 1.645, 0.5
 #: Bounds of a prior's strength, in pages, and the strength of the corpus-wide prior of a suffix.
 STRENGTH = (1.0, 1000.0)
+#: Suffixes of two labels under which names are registered; a parameter, as the full list is not ours to keep.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "com.tr", "com.ar", "com.tw", "co.kr")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -41,56 +42,69 @@ def page_outcome(html: Column) -> Column:
     return F.coalesce(((n >= 50) & (symbols * 10 <= F.length(text))).cast("int"), F.lit(0))
 
 
-def _strength(groups: DataFrame) -> DataFrame:
-    """One row, mean and strength of the beta prior over groups (n, good), by the method of moments.
-
-    Spread between groups beyond binomial noise: v = sum n (p - m)^2 / sum n - m (1 - m) k / sum n; strength is
-    m (1 - m) / v - 1, within STRENGTH.
-    """
-    mean = groups.agg((F.sum("good") / F.sum("n")).alias("m"))
-    spread = groups.crossJoin(F.broadcast(mean)).agg(  # mean is one row
-        F.first("m").alias("mean"),
-        (F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("m"), 2)) / F.sum("n")).alias("seen"),
-        (F.first(F.col("m") * (1 - F.col("m"))) * F.count(F.lit(1)) / F.sum("n")).alias("noise"),
-    )
-    v = F.greatest(F.col("seen") - F.col("noise"), F.lit(1e-9))
-    s = F.least(F.greatest(F.col("mean") * (1 - F.col("mean")) / v - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))
-    return spread.select(F.coalesce("mean", F.lit(0.5)).alias("mean"), F.coalesce(s, F.lit(STRENGTH[0])).alias("strength"))
+def levels_of(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """(suffix, registered domain): the public suffix (one label, or two if listed) and that with one label more. A
+    port counts to neither; an address of numbers is its own domain under the suffix `ip`."""
+    name = F.regexp_replace(host, r":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    listed = two.isin(*suffixes) if suffixes else F.lit(False)
+    ip = name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    suffix = F.when(ip, F.lit("ip")).when(listed, two).otherwise(F.substring_index(name, ".", -1))
+    return suffix, F.when(ip, name).when(listed, F.substring_index(name, ".", -3)).otherwise(two)
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """outcomes: host, good (0/1). One row per host: n, good, mean, upper (posterior mean and bound).
+def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and strength of the beta prior of each level (host, domain, suffix), by the method of moments, in one job.
 
-    Beta-binomial priors run from suffix to registered domain (last two labels) to host: each level's posterior mean
-    is the mean of the next level's prior, whose strength the method of moments takes from that level's own spread.
+    Spread between groups beyond binomial noise: v = sum n (p - m)^2 / sum n - m (1 - m) k / sum n; strength is
+    m (1 - m) / v - 1, within STRENGTH. hosts: host, domain, suffix, n, good. Three rows come to the driver.
     """
-    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
-    hosts = hosts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    level = lambda k: hosts.groupBy(F.col(k).alias("key")).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("level", F.lit(k))
+    every = level("host").unionByName(level("domain")).unionByName(level("suffix"))
+    found = every.groupBy("level").agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("q"), F.count(F.lit(1)).alias("k")).collect()
+    out = {k: (0.5, STRENGTH[0]) for k in ("host", "domain", "suffix")}
+    for r in found:
+        m = r["g"] / r["n"]
+        v = max(r["q"] / r["n"] - m * m - m * (1 - m) * r["k"] / r["n"], 1e-9)
+        out[r["level"]] = (m, min(max(m * (1 - m) / v - 1, STRENGTH[0]), STRENGTH[1]))
+    return out
+
+
+def host_reputation(counts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """counts: host, n, good (pages and good ones). One row per host: n, good, mean, upper (posterior mean and bound).
+
+    Beta-binomial priors run from suffix to registered domain to host: each level's posterior mean is the mean of the
+    next level's prior, whose strength the method of moments takes from that level's own spread. The prior of a suffix
+    has the mean of all pages.
+    """
+    suffix, domain = levels_of(F.col("host"), suffixes)
+    hosts = counts.withColumns({"suffix": suffix, "domain": domain})
+    prior = priors(hosts)
 
-    def posterior(groups: DataFrame, prior_mean: Column) -> DataFrame:
-        s = _strength(groups).select(F.col("strength").alias("__s"), F.col("mean").alias("__m"))
-        return groups.crossJoin(F.broadcast(s)).withColumn("a", F.col("good") + F.col("__s") * prior_mean).withColumn("b", F.col("n") - F.col("good") + F.col("__s") * (1 - prior_mean)).withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("__s", "__m")
+    def posterior(groups: DataFrame, level: str, mean: Column) -> DataFrame:
+        s = F.lit(prior[level][1])
+        return groups.withColumn("total", F.col("n") + s).withColumn("mean", (F.col("good") + s * mean) / F.col("total"))
 
-    up_suffix = posterior(suffixes, F.col("__m")).select("suffix", F.col("mean").alias("suffix_mean"))
-    up_domain = posterior(domains.join(up_suffix, "suffix"), F.col("suffix_mean")).select("domain", F.col("mean").alias("domain_mean"))
-    out = posterior(hosts.join(up_domain, "domain"), F.col("domain_mean"))
-    total = F.col("a") + F.col("b")
-    return out.select("host", "n", "good", "mean", (F.col("mean") + F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (total + 1))).alias("upper"))
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    up = posterior(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "suffix", F.lit(prior["suffix"][0])).select("suffix", F.col("mean").alias("up"))
+    mid = posterior(domains.join(up, "suffix"), "domain", F.col("up")).select("domain", "suffix", F.col("mean").alias("mid"))
+    out = posterior(hosts.join(mid, ["domain", "suffix"]), "host", F.col("mid"))
+    return out.select("host", "n", "good", "mean", (F.col("mean") + F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1))).alias("upper"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, outcome: Column | None = None, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, outcome: Column | None = None, id_col="page_id", url_col="url", html_col="html", suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_mean, host_upper; one row per input row.
 
-    A page's label is what page_outcome() says of its html. Pages that no rule fits are allowed unless their host's
-    upper posterior bound is under GOOD; a url without host (null, or no ://) is judged as the host ''. Repeated rows
-    each count; an empty table gives no rows.
+    A page's label is `outcome` (1 good, 0 bad, null counts as bad), or what page_outcome() says of its html (null html:
+    bad). Pages that no rule fits are allowed unless their host's upper posterior bound is under GOOD; a url without
+    host (null, or no ://) is judged as the host ''. Repeated rows each count; an empty table gives no rows; very long
+    texts are read whole; other columns are not read. The outcomes are counted by host into a table once.
     """
-    host, path = split_url(F.col(url_col))
-    outcome = page_outcome(F.col(html_col)) if outcome is None else outcome
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), outcome.alias("good"))
-    judged = base.drop("good").join(host_reputation(base.select("host", "good")).select("host", F.col("mean").alias("host_mean"), F.col("upper").alias("host_upper")), "host")
+    host, path = split_url(column(url_col))
+    good = F.coalesce((page_outcome(column(html_col)) if outcome is None else outcome).cast("long"), F.lit(0))
+    counts = materialize(pages.select(host.alias("host"), good.alias("good")).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")), "hosts")
+    known = materialize(host_reputation(counts, suffixes).select("host", F.col("mean").alias("host_mean"), F.col("upper").alias("host_upper")), "reputation")
+    judged = pages.select(column(id_col).alias("page_id"), host.alias("host"), path.alias("path")).join(side(known), "host")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     return judged.withColumn("__r", rule).select(
         "page_id", "host", "path", F.col("__r.rule").alias("rule"), F.coalesce(F.col("__r.verdict"), F.when(F.col("host_upper") < GOOD, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "host_mean", "host_upper"
@@ -98,7 +112,8 @@ def judge_urls(pages: DataFrame, rules=RULES, outcome: Column | None = None, id_
 
 
 def op4_urls(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    found = judge_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("host_mean", 6).alias("host_mean"), F.round("host_upper", 6).alias("host_upper"))
 
 
 def _level_sql(name: str, source: str, key: str, prior: str) -> str:
@@ -109,20 +124,24 @@ def _level_sql(name: str, source: str, key: str, prior: str) -> str:
 {name} AS (SELECT *, (good + s * {prior}) / (n + s) AS mean, n + s AS total FROM {source}, {name}_s)"""
 
 
+_TWO = ", ".join(f"'{x}'" for x in SUFFIXES)
 OP4_SQL = rf"""
 WITH r AS (SELECT page_id, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 t AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
        regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path, regexp_replace(html, '<[^>]*>', ' ', 'g') AS txt FROM r),
 p AS (SELECT page_id, host, path, CASE WHEN len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) >= 50
        AND (length(txt) - length(translate(txt, '#*$%|', ''))) * 10 <= length(txt) THEN 1 ELSE 0 END AS good FROM t),
-h AS (SELECT host, list_reverse(string_split(host, '.')) AS l, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM p GROUP BY host),
-hosts AS (SELECT host, n, good, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS domain FROM h),
+h AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM p GROUP BY host),
+l AS (SELECT *, list_reverse(string_split(name, '.')) AS l, regexp_matches(name, '^[0-9]+(\.[0-9]+){{3}}$|^\[') AS ip FROM h),
+two AS (SELECT *, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE l[1] END AS two FROM l),
+hosts AS (SELECT host, n, good, CASE WHEN ip THEN 'ip' WHEN two IN ({_TWO}) THEN two ELSE l[1] END AS suffix,
+       CASE WHEN ip THEN name WHEN two IN ({_TWO}) AND len(l) > 2 THEN l[3] || '.' || two ELSE two END AS domain FROM two),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
 {_level_sql("su", "suffixes", "suffix", "m")},
 dp AS (SELECT domains.*, su.mean AS up FROM domains JOIN su USING (suffix)),
 {_level_sql("dm", "dp", "domain", "up")},
-hp AS (SELECT hosts.*, dm.mean AS up2 FROM hosts JOIN dm USING (domain)),
+hp AS (SELECT hosts.*, dm.mean AS up2 FROM hosts JOIN dm USING (domain, suffix)),
 {_level_sql("ho", "hp", "host", "up2")},
 ruled AS (SELECT page_id, host, path, CASE
     WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -132,6 +151,7 @@ ruled AS (SELECT page_id, host, path, CASE
     WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
 SELECT page_id, ruled.host AS host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1)) < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+    WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1)) < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+    round(mean, 6) AS host_mean, round(mean + 1.645 * sqrt(mean * (1 - mean) / (total + 1)), 6) AS host_upper
 FROM ruled JOIN ho USING (host)
 """
