@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, bind, materialize, table
+from .common import ASCII_LOWER, ASCII_UPPER, bind, column, materialize, table
 
 #: What parts words: all of ASCII but letters and digits.
 NO_TOKEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -59,6 +59,23 @@ def _windows(h: Column, sizes: list[int]) -> Column:
     return F.concat(*[runs(n) for n in sizes])
 
 
+def _hit_windows(h: Column, hits: Column, sizes: list[int]) -> Column:
+    """(n, key, start) of the windows to compare: those of WINDOW words that hold a gram among the hits, and runs of a
+    short item's length that are a hit themselves."""
+
+    def around(flags: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.coalesce(*[F.when(F.get(flags, i + k), F.lit(True)) for k in range(SPAN)], F.lit(False)))
+        return F.transform(starts, lambda i: F.struct(F.lit(WINDOW).alias("n"), F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]).alias("key"), i.cast("int").alias("start")))
+
+    none = F.array().cast("array<struct<n:int,key:bigint,start:int>>")
+    whole = F.when(F.size(h) >= WINDOW, bind(F.transform(_grams(h, GRAM), lambda x: F.array_contains(hits, x)), around)).otherwise(none)
+
+    def runs(n: int) -> Column:
+        return F.filter(_windows(h, [n]), lambda w: F.array_contains(hits, F.xxhash64(F.lit(n), w["key"])))
+
+    return F.concat(whole, *map(runs, sizes))
+
+
 def _side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df, broadcast if counted to be within the limit."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -68,32 +85,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     """doc_id, text_key, n_words, n_hit, n_items, items (sorted ids as strings), contaminated; a row per input row.
 
     First, winnowed fingerprints of the training texts meet those of the test items; a document that shares none
-    shares no window. Then the hits are extended: in documents with a hit, every window of WINDOW words is compared
-    with the items' windows by a 64-bit hash. Items of fewer than WINDOW words are one window and are looked up whole.
+    shares no window. Then the hits are extended: wherever a document holds a fingerprint that met one, the windows of
+    WINDOW words around it are compared with the items' windows by a 64-bit hash. Items of fewer than WINDOW words are
+    one window and are looked up whole.
 
-    Null or wordless texts have no words and no hits; an item without words or id occurs nowhere; an empty benchmark
+    Columns but those named are not read, so extra ones can't clash; very long texts are read whole. Null or wordless texts have no words and no hits; an item without words or id occurs nowhere; an empty benchmark
     leaves every document clean. Rows that repeat each get the same answer; rows that share an id but not a text are
     judged each by its own text. What is gathered for a document is bounded by its own words.
     """
-    bench = materialize(items.select(F.col(item_col).cast("string").alias("item_id"), _hashes(F.col(item_text_col)).alias("h")).where("item_id is not null and size(h) > 0"), "bench")
+    bench = materialize(items.select(column(item_col).cast("string").alias("item_id"), _hashes(column(item_text_col)).alias("h")).where("item_id is not null and size(h) > 0"), "bench")
     sizes = sorted(r["n"] for r in bench.where(F.size("h") < WINDOW).select(F.size("h").alias("n")).distinct().collect())  # at most 1 to WINDOW - 1
     prints = lambda h: F.concat(_fingerprints(h), _short_keys(h, sizes)) if sizes else _fingerprints(h)
     # the short runs of longer items widen the first sieve only
     marks = bench.select(F.explode(bind(F.col("h"), prints)).alias("fp")).distinct().withColumn("hit", F.lit(1))
 
     hashed = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), bind(_hashes(F.col(text_col)), lambda h: F.struct(F.size(h).cast("long").alias("n"), prints(h).alias("fps"))).alias("m")
+        F.monotonically_increasing_id().alias("row"), column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("text_key"), bind(_hashes(column(text_col)), lambda h: F.struct(F.size(h).cast("long").alias("n"), prints(h).alias("fps"))).alias("m")
     )
     rows = hashed.select("row", "doc_id", "text_key", F.col("m.n").alias("n_words"), F.explode_outer("m.fps").alias("fp"))
-    seen = materialize(rows.join(_side(marks), "fp", "left").groupBy("row", "doc_id", "text_key", "n_words").agg(F.max("hit").alias("hit")), "seen")
+    seen = materialize(rows.join(_side(marks), "fp", "left").groupBy("row", "doc_id", "text_key", "n_words").agg(F.collect_set(F.when(F.col("hit") == 1, F.col("fp"))).alias("hits")), "seen")
 
-    hit_docs = seen.where("hit = 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    again = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("__text"))
-    again = again.join(_side(hit_docs), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
+    hit_docs = seen.where("size(hits) > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "hits").dropDuplicates(["__id", "__key"])
+    again = docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("text_key"), column(text_col).alias("__text"))
+    again = again.join(_side(hit_docs), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     lengths = [*sizes, WINDOW]
     item_windows = bench.select("item_id", F.size("h").alias("len"), F.explode(bind(F.col("h"), lambda h: _windows(h, lengths))).alias("w"))
     item_windows = item_windows.where((F.col("w.n") == WINDOW) | (F.col("w.n") == F.col("len"))).select("item_id", "w.n", "w.key").distinct()
-    doc_windows = again.select("doc_id", "text_key", F.explode(bind(_hashes(F.col("__text")), lambda h: _windows(h, lengths))).alias("w")).select("doc_id", "text_key", "w.n", "w.key", "w.start")
+    doc_windows = again.select("doc_id", "text_key", F.explode(bind(_hashes(F.col("__text")), lambda h: _hit_windows(h, F.col("hits"), sizes))).alias("w")).select("doc_id", "text_key", "w.n", "w.key", "w.start")
     found = doc_windows.join(_side(item_windows), ["n", "key"])
 
     per_start = found.groupBy("doc_id", "text_key", "start").agg(F.max("n").alias("n"), F.collect_set("item_id").alias("ids"))
