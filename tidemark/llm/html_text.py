@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, column, table
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup to read: skipped whole.
-RAW = frozenset("script style title textarea noscript template iframe svg math object xmp noembed noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object xmp noembed noframes".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HELD = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote td dd dt".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button select option fieldset head".split())
 CONTENT = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -31,12 +32,14 @@ CUES = re.compile(
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
-#: Capacities: what a block's place in the page is worth, adjacency, a common parent, and the most a score is worth.
-PLACE, ADJACENT, SIBLING, MOST = 12.0, 0.5, 1.5, 6.0
-#: About how many pages, chosen by a hash of the id, the block classifier is fitted on; never more than twice this.
-FIT_PAGES = 400
+#: Capacities of the smoothness edges: between blocks that follow each other, and between successive blocks of a parent.
+ADJACENT, SIBLING = 0.5, 1.5
+#: About how many pages, chosen by a hash of the page, the block classifier is fitted on, and the most blocks of them.
+FIT_PAGES, FIT_BLOCKS = 400, 40_000
+#: Ridge of the fit: weights of what always tells end near its logarithm.
+RIDGE = 1e-5
 #: Used where the sample does not hold both kinds of blocks. Order as in features().
-DEFAULT_WEIGHTS = (-2.0, 0.9, -4.0, 1.0, 0.5)
+DEFAULT_WEIGHTS = (-2.0, 0.9, -4.0, 1.0, 0.5, -12.0, 12.0, -6.0)
 
 
 class Block:
@@ -45,33 +48,47 @@ class Block:
     def __init__(self, text: str, links: int, tag: str, parent: int, cue: int):
         self.text, self.links, self.tag, self.parent, self.cue = text, links, tag, parent, cue
 
-    def features(self) -> tuple[float, ...]:
+    def features(self, any_article: bool) -> tuple[float, ...]:
+        """Bias, length, share of links, punctuation, an end mark, and the place: in what names or tags call furniture,
+        in the article, or outside of it on a page that has one."""
         n = self.text.count(" ") + 1
-        ends = sum(self.text.count(c) for c in ".!?;:,")
-        return (1.0, math.log1p(n), self.links / max(1, len(self.text)), min(1.0, ends / n * 4), 1.0 if self.text[-1:] in ".!?\"”»" else 0.0)
+        ends = sum(map(self.text.count, ".!?;:,"))
+        place = (float(self.cue < 0), float(self.cue > 0), float(any_article and self.cue == 0))
+        return (1.0, math.log1p(n), self.links / max(1, len(self.text)), min(1.0, ends / n * 4), 1.0 if self.text[-1:] in ".!?\"”»" else 0.0, *place)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: white space inside a block is one space, references are decoded."""
     out: list[Block] = []
-    # open elements: (name, number, cue) where cue is -1 in furniture, 1 in the article, 0 elsewhere
+    # open elements: (name, number, cue) where cue is -1 in furniture, 1 in the article, 0 elsewhere; where each name
+    # and the elements that are no inline ones stand, and how many articles are open
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    open_by_name: dict[str, list[int]] = {}
+    open_blocks = [0]
+    articles = 0
     serial = 0
     parts: list[str] = []
     links = 0
     in_link = 0
     pos, end = 0, len(page)
 
+    def close_to(depth: int) -> None:
+        nonlocal articles
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            open_by_name[name].pop()
+            if open_blocks[-1] == len(stack):
+                open_blocks.pop()
+            articles -= name in CONTENT
+
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                k = len(stack) - 1
-                while k and stack[k][0] in INLINE:
-                    k -= 1
+                k = open_blocks[-1]
                 # paragraphs stand under the element that holds them
-                parent = stack[k - 1][1] if k and stack[k][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "dd", "dt") else stack[k][1]
+                parent = stack[k - 1][1] if k and stack[k][0] in HELD else stack[k][1]
                 out.append(Block(text, links, stack[k][0], parent, stack[-1][2]))
             parts.clear()
         links = 0
@@ -116,11 +133,11 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            held = open_by_name.get(name)
             if name not in INLINE:
                 flush()
-            if depth and (name not in INLINE or all(stack[k][0] in INLINE for k in range(depth, len(stack)))):
-                del stack[depth:]
+            if held and (name not in INLINE or open_blocks[-1] < held[-1]):
+                close_to(held[-1])
             if name == "a":
                 in_link = 0
             continue
@@ -137,134 +154,212 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-            inner = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] not in INLINE), 0)
+            inner = open_blocks[-1]
             if inner and (stack[inner][0] == "p" or stack[inner][0] in SAME.get(name, ())):
-                del stack[inner:]
+                close_to(inner)
         elif name == "a":
             in_link = 1
         cue = stack[-1][2]
         got = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(attrs)} if attrs.strip() else {}
         named = f"{got.get('class', '')} {got.get('id', '')}"
-        in_article = any(x[0] in CONTENT for x in stack)
         if cue >= 0:
             if name in CONTENT:
                 cue = 1
-            bad = (name in FURNITURE and not (name == "header" and in_article)) or got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I)
+            bad = (name in FURNITURE and not (name == "header" and articles)) or got.get("role", "").lower() in ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", ""), re.I)
             if bad or (name not in ("body", "html", "article", "main") and CUES.search(named)):
                 cue = -1
         serial += 1
+        open_by_name.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            open_blocks.append(len(stack))
+        articles += name in CONTENT
         stack.append((name, serial, cue))
     flush()
     return out
 
 
 def min_cut(content: list[float], furniture: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for nodes on the content side of a minimum cut, by shortest augmenting paths.
+    """True for nodes on the content side of a minimum cut.
 
     content[i] is lost if i is cut off as furniture, furniture[i] if it stays; an edge's capacity if it is severed.
+    A node whose terminals differ by more than all its edges can weigh takes its side in every minimum cut; it is taken
+    out and its edges go to its neighbours' terminals, until none is left (most pages end there). Maximum flow decides
+    the rest.
     """
     n = len(content)
+    score = [a - b for a, b in zip(content, furniture, strict=True)]
+    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for a, b, c in edges:
+        if a != b and c > 0:
+            near[a].append((b, c))
+            near[b].append((a, c))
+    weight = [sum(c for _, c in x) for x in near]
+    keep: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        i = queue.popleft()
+        if keep[i] is None and abs(score[i]) > weight[i]:
+            keep[i] = score[i] > 0
+            for j, c in near[i]:
+                if keep[j] is None:
+                    score[j] += c if keep[i] else -c
+                    weight[j] -= c
+                    queue.append(j)
+    left = [i for i in range(n) if keep[i] is None]
+    if left:
+        place = {i: k for k, i in enumerate(left)}
+        inner = [(place[a], place[b], c) for a, b, c in edges if a in place and b in place and a != b and c > 0]
+        for i, kept in zip(left, _max_flow_side([score[i] for i in left], inner), strict=True):
+            keep[i] = kept
+    return [bool(k) for k in keep]
+
+
+def _max_flow_side(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source side of a minimum cut where score is the surplus of the source's terminal, by blocking flows."""
+    n = len(score)
     source, sink = n, n + 1
-    graph: list[list[list]] = [[] for _ in range(n + 2)]  # [to, capacity, index of the reverse]
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
 
     def link(a: int, b: int, there: float, back: float) -> None:
-        graph[a].append([b, there, len(graph[b])])
-        graph[b].append([a, back, len(graph[a]) - 1])
-
-    for i in range(n):
-        link(source, i, content[i], 0.0)
-        link(i, sink, furniture[i], 0.0)
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for i, s in enumerate(score):
+        if s > 0:
+            link(source, i, s, 0.0)
+        elif s < 0:
+            link(i, sink, -s, 0.0)
     for a, b, c in edges:
         link(a, b, c, c)
     while True:
-        came: dict[int, tuple[int, int]] = {source: (-1, -1)}
+        level = {source: 0}
         queue = deque([source])
-        while queue and sink not in came:
+        while queue:
             a = queue.popleft()
-            for k, (b, c, _) in enumerate(graph[a]):
-                if c > 1e-9 and b not in came:
-                    came[b] = (a, k)
-                    queue.append(b)
-        if sink not in came:
-            return [i in came for i in range(n)]
-        path, b = [], sink
-        while b != source:
-            path.append(came[b])
-            b = came[b][0]
-        flow = min(graph[a][k][1] for a, k in path)
-        for a, k in path:
-            e = graph[a][k]
-            e[1] -= flow
-            graph[e[0]][e[2]][1] += flow
+            for e in out[a]:
+                if room[e] > 1e-9 and to[e] not in level:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if sink not in level:
+            return [i in level for i in range(n)]
+        nth = [0] * (n + 2)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                cut = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                a = to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while nth[a] < len(out[a]):
+                e = out[a][nth[a]]
+                if room[e] > 1e-9 and level.get(to[e]) == level[a] + 1:
+                    break
+                nth[a] += 1
+            if nth[a] < len(out[a]):
+                path.append(out[a][nth[a]])
+                a = to[path[-1]]
+            elif a == source:
+                break
+            else:
+                a = to[path.pop() ^ 1]
+                nth[a] += 1
 
 
 def main_text(page: str | None, weights=DEFAULT_WEIGHTS) -> str:
     """The article's text, '' if there is none.
 
-    Each block's score (a logistic classifier of its length, links and punctuation, plus its place in the page) gives
-    its terminal capacities; neighbouring blocks and blocks under one parent are tied by smoothness edges; the
-    minimum cut decides. Neighbours under one parent whose scores have one sign are one node.
+    Each block's score, from a logistic classifier of its length, links, punctuation and place in the page, gives its
+    terminal capacities; neighbouring blocks and successive blocks of one parent are tied by smoothness edges; the
+    minimum cut decides.
     """
     found = blocks(page or "")
     if not found:
         return ""
-    nodes: list[list] = []  # [score, parent, members]
     any_article = any(b.cue > 0 for b in found)
-    for i, b in enumerate(found):
-        score = max(-MOST, min(MOST, sum(w * x for w, x in zip(weights, b.features(), strict=True))))
-        score += PLACE * b.cue - (PLACE / 2 if any_article and b.cue == 0 else 0)
-        if nodes and nodes[-1][1] == b.parent and (nodes[-1][0] > 0) == (score > 0):
-            nodes[-1][0] += score
-            nodes[-1][2].append(i)
-        else:
-            nodes.append([score, b.parent, [i]])
-    edges = [(k, k + 1, ADJACENT) for k in range(len(nodes) - 1)]
+    score = [sum(w * x for w, x in zip(weights, b.features(any_article), strict=True)) for b in found]
+    edges = [(k, k + 1, ADJACENT) for k in range(len(found) - 1)]
     last: dict[int, int] = {}
-    for k, node in enumerate(nodes):
-        if node[1] in last:
-            edges.append((last[node[1]], k, SIBLING))
-        last[node[1]] = k
-    keep = min_cut([max(0.0, x[0]) for x in nodes], [max(0.0, -x[0]) for x in nodes], edges)
-    return " ".join(found[i].text for node, kept in zip(nodes, keep, strict=True) if kept for i in node[2])
-
-
-def fit_weights(pages: list[str]) -> tuple[float, ...]:
-    """Logistic weights of features(), from blocks whose place tells their kind: in an article or in furniture."""
-    rows = [(b.features(), b.cue > 0) for p in pages for b in blocks(p) if b.cue]
-    y = np.array([r[1] for r in rows], dtype=float)
-    if len(rows) < 50 or min(y.sum(), len(y) - y.sum()) < 10:
+    for k, b in enumerate(found):
+        if b.parent in last:
+            edges.append((last[b.parent], k, SIBLING))
+        last[b.parent] = k
+    keep = min_cut([max(0.0, x) for x in score], [max(0.0, -x) for x in score], edges)
+    return " ".join(b.text for b, kept in zip(found, keep, strict=True) if kept)
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic weights of features() x, from blocks whose place tells whether they are of the article (y).
+
+    Both kinds weigh the same in sum. Words in names mark furniture that is none now and then, so the place is a feature
+    among others and its weight is learned; the ridge keeps it finite.
+    """
+    if len(y) < 50 or min(y.sum(), len(y) - y.sum()) < 10:
         return DEFAULT_WEIGHTS
-    x, w = np.array([r[0] for r in rows]), np.zeros(len(DEFAULT_WEIGHTS))
+    w = np.zeros(x.shape[1])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - 1e-3 * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        grad = x.T @ (weight * (y - p)) - RIDGE * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(float(v) for v in w)
+    return tuple(float(v) if seen else d for v, seen, d in zip(w, x.any(axis=0), DEFAULT_WEIGHTS, strict=True))  # what no block shows is not learned
+
+
+def sample_blocks(pages: DataFrame, fit_pages: int = FIT_PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(features, of the article) of the blocks that teach: on pages with an article all, on others what is furniture.
+
+    From about fit_pages pages chosen by a hash of the page, at most FIT_BLOCKS blocks in the order of those hashes; so
+    reruns agree, and numbers alone reach the driver. pages: html.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batched(batches):
+            rows: list[list] = [[], [], []]
+            for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = blocks(page)
+                any_article = any(x.cue > 0 for x in found)
+                for x in found:
+                    if any_article or x.cue:
+                        for col, v in zip(rows, (h, x.features(any_article), x.cue > 0), strict=True):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.float64())), pa.array(rows[2], pa.bool_())], ["h", "x", "y"])
+
+    rows = pages.where("html is not null").select(F.xxhash64("html").alias("h"), "html")
+    part = min(1.0, fit_pages / max(1, rows.count()))
+    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20)) + 1).mapInArrow(run, "h long, x array<double>, y boolean")
+    found = chosen.orderBy("h", "x").limit(FIT_BLOCKS).toArrow()
+    x = np.array(found.column("x").to_pylist(), dtype=float).reshape(found.num_rows, len(DEFAULT_WEIGHTS))
+    return x, found.column("y").to_numpy(zero_copy_only=False).astype(float)
 
 
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", fit_pages=FIT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars; one row per input row.
 
-    Null and empty html give the empty text, as do pages without a content block. Each page is read whole. Rows that
-    repeat are extracted alike. The block classifier is fitted on about fit_pages pages (chosen by a hash of the
-    id, so reruns agree); everything else is local to a page, so memory is that of a batch of pages.
+    Null and empty html give the empty text, as do pages without a content block; an empty table gives no rows. Each
+    page is read whole, in time linear in its length but for the flow among blocks that the classifier leaves open.
+    Rows that repeat are extracted alike; columns but the three named are not read, so extra ones can't clash. The
+    block classifier is fitted on a bounded sample; everything else is local to a page, so memory is that of a batch.
     """
-    total = pages.count()
-    slot = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(min(1.0, fit_pages / max(1, total)) * (1 << 20)) + 1
-    sample = [r[0] for r in pages.where(slot & F.col(html_col).isNotNull()).select(html_col).limit(2 * fit_pages).collect()]
-    weights = fit_weights(sample)
+    base = pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).cast("string").alias("html"))
+    weights = fit_weights(*sample_blocks(base.select("html"), fit_pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batched(batches):
             texts = [main_text(x, weights) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return base.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
