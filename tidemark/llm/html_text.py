@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, column, table
+from .common import batched, column, small_batches, table
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +38,8 @@ ADJACENT, SIBLING = 0.5, 1.5
 FIT_PAGES, FIT_BLOCKS = 400, 40_000
 #: Ridge of the fit: weights of what always tells end near its logarithm.
 RIDGE = 1e-5
+#: Where the features of a block's place begin among features().
+PLACES = 5
 #: Used where the sample does not hold both kinds of blocks. Order as in features().
 DEFAULT_WEIGHTS = (-2.0, 0.9, -4.0, 1.0, 0.5, -12.0, 12.0, -6.0)
 
@@ -296,25 +298,34 @@ def main_text(page: str | None, weights=DEFAULT_WEIGHTS) -> str:
     return " ".join(b.text for b, kept in zip(found, keep, strict=True) if kept)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic weights of features() x, from blocks whose place tells whether they are of the article (y).
-
-    Both kinds weigh the same in sum. Words in names mark furniture that is none now and then, so the place is a feature
-    among others and its weight is learned; the ridge keeps it finite.
-    """
-    if len(y) < 50 or min(y.sum(), len(y) - y.sum()) < 10:
-        return DEFAULT_WEIGHTS
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Weights of x beside the offset, by Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    for _ in range(50):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
         grad = x.T @ (weight * (y - p)) - RIDGE * w
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(float(v) if seen else d for v, seen, d in zip(w, x.any(axis=0), DEFAULT_WEIGHTS, strict=True))  # what no block shows is not learned
+    return w
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic weights of features() x, from blocks whose place tells whether they are of the article (y).
+
+    Both kinds weigh the same in sum. What a block says is fitted first and alone, as it must do on pages whose names
+    tell nothing; then what its place adds to that. Words in names mark furniture that is none now and then, so the
+    place's weight is learned; the ridge keeps it finite. What no block shows is not learned.
+    """
+    if len(y) < 50 or min(y.sum(), len(y) - y.sum()) < 10:
+        return DEFAULT_WEIGHTS
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    says, place = x[:, :PLACES], x[:, PLACES:]
+    w = _logistic(says, y, weight, np.zeros(len(y)))
+    w = np.concatenate([w, _logistic(place, y, weight, says @ w)])
+    return tuple(float(v) if seen else d for v, seen, d in zip(w, x.any(axis=0), DEFAULT_WEIGHTS, strict=True))
 
 
 def sample_blocks(pages: DataFrame, fit_pages: int = FIT_PAGES) -> tuple[np.ndarray, np.ndarray]:
@@ -352,6 +363,7 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
     Rows that repeat are extracted alike; columns but the three named are not read, so extra ones can't clash. The
     block classifier is fitted on a bounded sample; everything else is local to a page, so memory is that of a batch.
     """
+    small_batches(pages.sparkSession)
     base = pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), column(html_col).cast("string").alias("html"))
     weights = fit_weights(*sample_blocks(base.select("html"), fit_pages))
 
