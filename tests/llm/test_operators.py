@@ -184,6 +184,33 @@ def test_quality_rules(spark, docs):
     assert rules and all(r.kept == (r.doc_id % 2 == 0) for r in judged.where("not base_failed").collect())
 
 
+def test_quality_rules_base_equals_brute_force(spark):
+    """Base columns against plain loops: repeated windows and lines, marks, nulls, very long texts, clashing names."""
+    rng = np.random.default_rng(9)
+    texts = [None, "", " \n\t", "a b c a b c", "x y " * 40, "one\none\n\n two\n two\ntwo", "#*$%&|<> a#b <c>", "w " * 30_000, "é à ü " * 20, "a b c d a b c e a b", "a\rb\x0bc\x1cd e"]
+    texts += [" ".join(rng.choice(list("abcde"), int(n))) + "\n" * int(n % 3) + "end" for n in rng.integers(1, 90, 60)]
+
+    def plain(t):
+        w = WORD.findall(t)
+        at = defaultdict(list)
+        for i in range(len(w) - 2):
+            at[tuple(w[i : i + 3])].append(i)
+        twice = {p for v in at.values() if len(v) > 1 for i in v for p in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(twice)
+
+    rows = [(i % 50, t, "s", "c", "l") for i, t in enumerate(texts)]
+    labels = [(1, None, None), (None, 1, 0), (3, 0, 0), (3, 1, 0)]
+    judged, rules = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, stats string, __s string, lines string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = Counter((r.doc_id, *(r[n] for n in names), r.base_failed) for r in judged.collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        b = plain(t or "")
+        want[(i, *b, b[0] < 50 or 100 * b[4] > 50 * b[0])] += 1
+    assert got == want and rules == []
+
+
 def test_quality_model(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_model.classify(docs, empty).collect()
@@ -292,16 +319,100 @@ def test_html():
         html_text.main_text(odd)
 
 
+def made_page(rng, marked):
+    """(html, text of the article) of a page of invented words; marked: whether tags and names tell what is what."""
+    word = lambda: "".join(rng.choice(list("abdegiklmnoprstu"), int(rng.integers(2, 9))))
+    say = lambda n: " ".join(word() for _ in range(n))
+    prose = [say(int(rng.integers(25, 60))) + ", " + say(12) + "." for _ in range(int(rng.integers(3, 7)))]
+    menu = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(int(rng.integers(4, 9))))
+    title = say(6)
+    inside = f"<h1>{title}</h1>" + "".join(f"<p>{p.replace(' ', ' <em>', 1).replace(',', '</em>,', 1)}" + ("</p>" if rng.random() < 0.7 else "") for p in prose)
+    if marked:
+        body = f"<nav><ul>{menu}</ul></nav><div class='ad-top'>{say(9)}.</div><article>{inside}</article><aside>{say(30)}, {say(9)}.</aside><div id='comments'><p>{say(20)}.</p></div><footer>&copy; {say(4)}</footer>"
+        text = [title, *prose]
+    else:
+        body = f"<div><ul>{menu}</ul></div><div>{inside.replace(f'<h1>{title}</h1>', '')}</div><div><a href='#'>{say(3)}</a> <a href='#'>{say(2)}</a></div>"
+        text = prose
+    return f"<html><head><title>{word()}</title><script>if (a<b) x('<p>{word()}</p>')</script></head><body>{body}</body></html>", " ".join(text)
+
+
+def test_html_text_of_made_pages(spark):
+    """Exactly the article where tags and names tell, and nearly always where only lengths and links do; with repeated
+    rows, nulls, a very long page and clashing names."""
+    rng = np.random.default_rng(2)
+    pages = [made_page(rng, i % 5 > 0) for i in range(300)]
+    long_ = "<nav><a>x</a></nav><article>" + "<div><p>word by word, it goes on.</p>" * 6000 + "</article>" + "</div>" * 10
+    rows = [(i, f"u{i}", h, "t", 1) for i, (h, _) in enumerate(pages)] + [(0, "u0", pages[0][0], "t", 1), (1000, None, None, "t", 1), (1001, "u", "", "t", 1), (1002, "u", long_, "t", 1)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.page_id].append(r.text)
+        assert r.n_chars == len(r.text)
+    right = [by[i][0] == t for i, (_, t) in enumerate(pages)]
+    assert all(right[i] for i in range(300) if i % 5) and np.mean([right[i] for i in range(0, 300, 5)]) > 0.9
+    assert by[0] == [pages[0][1]] * 2 and by[1000] == by[1001] == [""] and by[1002] == [" ".join(["word by word, it goes on."] * 6000)]
+
+
+def test_html_parsing_is_linear():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "<p>x y z.</p>" + "".join(f"<p>a <b>b</b> {i}.</p><div class='ad'>c</div>" for i in range(n // 4))
+        begun = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - begun
+
+    took(1000)
+    assert took(32_000) < 40 * max(took(2000), 0.005)
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        n = 6
-        a, b = rng.integers(0, 9, n), rng.integers(0, 9, n)
+    for k in range(200):
+        n = 6 + k % 4
+        a, b = rng.integers(0, 9 if k % 2 else 3, n), rng.integers(0, 9 if k % 2 else 3, n)
         edges = [(i, j, float(rng.integers(0, 5))) for i in range(n) for j in range(i)]
         cost = lambda keep: sum(b[i] if keep[i] else a[i] for i in range(n)) + sum(c for i, j, c in edges if keep[i] != keep[j])  # noqa: E731, B023
         assert cost(html_text.min_cut(list(map(float, a)), list(map(float, b)), edges)) == min(cost([k >> i & 1 for i in range(n)]) for k in range(1 << n))
 
 
+def test_host_reputation(spark):
+    """Posteriors against the same sums in plain code; a bad host of many pages is blocked, a bad page of a small host
+    is not, and what is known of a domain reaches a host of one page."""
+    rows = [(h, int(i < good)) for h, n, good in (("spam.bad.net", 400, 8), ("one.bad.net", 1, 0), ("fine.good.net", 300, 290), ("new.good.net", 1, 0), ("a.shop.co.uk", 50, 45), ("b.other.co.uk", 40, 4), ("10.0.0.1:80", 30, 28), ("", 5, 5)) for i in range(n)]
+    pages = spark.createDataFrame([(k, f"http://{h}/p{k}" if h else None, g, "x", "y") for k, (h, g) in enumerate(rows)], "page_id long, url string, good int, host string, n string")
+    got = urls.judge_urls(pages, rules=(), outcome=F.col("good"), html_col="url").collect()
+    assert len(got) == len(rows)
+    n, good = Counter(h for h, _ in rows), Counter(h for h, g in rows if g)
+    level = lambda h: ("ip", "10.0.0.1") if h.startswith("10.") else (("co.uk", ".".join(h.split(".")[-3:])) if h.endswith(".co.uk") else (h.split(".")[-1], ".".join(h.split(".")[-2:])))
+
+    def strength(groups):
+        total = sum(a for a, _ in groups)
+        m = sum(b for _, b in groups) / total
+        v = max(sum(a * (b / a - m) ** 2 for a, b in groups) / total - m * (1 - m) * len(groups) / total, 1e-9)
+        return m, min(max(m * (1 - m) / v - 1, 1.0), 1000.0)
+
+    def sums(key):
+        a, b = Counter(), Counter()
+        for h in n:
+            a[key(h)] += n[h]
+            b[key(h)] += good[h]
+        return {k: (a[k], b[k]) for k in a}
+
+    tops, mids, ends = sums(lambda h: level(h)[0]), sums(level), sums(lambda h: h)
+    (m, s1), (_, s2), (_, s3) = (strength(list(x.values())) for x in (tops, mids, ends))
+    top = {k: (b + s1 * m) / (a + s1) for k, (a, b) in tops.items()}
+    mid = {k: (b + s2 * top[k[0]]) / (a + s2) for k, (a, b) in mids.items()}
+    for r in got:
+        h = rows[r.page_id][0]
+        mean = (good[h] + s3 * mid[level(h)]) / (n[h] + s3)
+        assert r.host == h and r.host_mean == pytest.approx(mean) and r.host_upper == pytest.approx(mean + 1.645 * (mean * (1 - mean) / (n[h] + s3 + 1)) ** 0.5)
+    verdict = {r.host: r.verdict for r in got}
+    mean = {r.host: r.host_mean for r in got}
+    assert verdict["spam.bad.net"] == "block" == verdict["b.other.co.uk"] and verdict["fine.good.net"] == verdict["a.shop.co.uk"] == "allow"
+    assert mean["one.bad.net"] < mean["new.good.net"]
+
+
 def test_urls(spark):
     rows = [(1, "http://X.Example.org/en/12", "h"), (2, None, None), (3, "nothing", ""), (4, "https://a.com/fr/x?q", "h"), (5, "https://a.com?x/fr/", "h"), (6, "s://example.org/es/#", "h"), (7, "s://notexample.org/es/", "h")]
     got = {r.page_id: (r.host, r.path, r.rule) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -35,18 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
-@contextmanager
-def small_batches(spark: SparkSession):
-    """Bounds the batches that Spark sends to Python while it lasts; the session's settings come back after it."""
-    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {k: spark.conf.get(k, None) for k in ours}
-    for k, v in ours.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of the batches that go to Python to BATCH_ROWS and BATCH_BYTES, unless they are lower.
+
+    Results are computed after an operator returns, so the limits stay; every operator with Python sets them, so memory
+    does not depend on which one ran before.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,16 +64,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_written_to", None):
+        _delete(df.sparkSession, path)
+
+
+#: Tables written in each scratch() that is open, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize() writes inside are deleted at its end, but for those given to the function it yields."""
+    made: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._written_to)
+        return df
+
+    _SCRATCH.append(made)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, discard, materialize, row_keys, small_batches, table
+from .common import batched, materialize, row_keys, scratch, small_batches, table
 from .components import components
 from .repeats import WordHashes, copy_classes, finish, gram_hashes, in_bitmap, is_first, keyed, mark_repeats, side, with_copies, word_hashes
 
@@ -186,8 +186,9 @@ def _unit(held: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarr
     return a[:2], b[:2], linked
 
 
-def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, count: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sets: node, n; known: node, component, n_links of the sets that link). firsts: doc_id, body, distinct.
+def link_sets(firsts: DataFrame, keep: Callable[[DataFrame], DataFrame], bytes_: int, ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sets: node, n; known: node, component, n_links of the sets that link), tables to keep. firsts: doc_id, body,
+    distinct.
 
     1. Every set of a signature is compared with the least one of it. 2. Signatures whose sets are not in one component
     after that are open; their sets are compared across components, block by block. That finds all components. 3. If
@@ -212,7 +213,7 @@ def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int =
                 sigs.append(signatures(s, shared_bits.value, frequent_bits.value, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["node", "n", "sigs"])
 
-    indexed = materialize(firsts.select("doc_id", "body").mapInArrow(index, "node long, n long, sigs array<long>"), "index")
+    indexed = keep(materialize(firsts.select("doc_id", "body").mapInArrow(index, "node long, n long, sigs array<long>"), "index"))
     sets = indexed.select("node", "n")
     posts = indexed.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "node", "n")
     heads = materialize(posts.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1"), "heads")
@@ -264,12 +265,11 @@ def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int =
         units = block_units(members, contents, percent, block).withColumn("percent", F.lit(percent))
         more = materialize(units.groupBy("unit").applyInArrow(across, "a long, b long"), "ties")
         joined = components(links.unionByName(more))
-        discard(more)
 
     # 3. links of each set within its component
     known = materialize(joined.join(sets, "node"), "linked")
     if not count:
-        return sets, known.select("node", "component")
+        return sets, keep(known).select("node", "component")
     size = known.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
     sized = known.join(side(size), "component")
     members = sized.where("k > 2").select(F.col("component").alias("cluster"), "node", "n", F.lit(0).cast("long").alias("label"), F.lit(True).alias("loose"))
@@ -282,9 +282,9 @@ def link_sets(firsts: DataFrame, bytes_: int, ngram: int = NGRAM, percent: int =
         return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(n, pa.int64())})
 
     units = block_units(members, contents, percent, block).withColumn("percent", F.lit(percent))
-    many = materialize(units.groupBy("unit").applyInArrow(counted, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links")), "counts")
+    many = units.groupBy("unit").applyInArrow(counted, "node long, links long").groupBy("node").agg(F.sum("links").alias("n_links"))
     counts = many.unionByName(sized.where("k = 2").select("node", F.lit(1).cast("long").alias("n_links")))
-    return sets, known.select("node", "component").join(counts, "node")
+    return sets, keep(materialize(known.select("node", "component").join(counts, "node"), "counts"))
 
 
 def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", ngram: int = NGRAM, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, count: bool = True) -> DataFrame:
@@ -306,8 +306,9 @@ def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", ngram: int =
     bytes_ = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     if ids is not None:  # rows that repeat have one key
         firsts = firsts.dropDuplicates(["doc_id"])
-    with small_batches(docs.sparkSession):
-        sets, known = link_sets(firsts, bytes_, ngram, percent, frequent, block, count)
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        sets, known = link_sets(firsts, keep, bytes_, ngram, percent, frequent, block, count)
     links = F.coalesce("n_links", F.lit(0).cast("long")) if count else F.lit(None).cast("long").alias("n_links")
     classes = sets.join(side(known), "node", "left").select(F.col("node").alias("first"), F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"), links.alias("n_links"))
     rows = flagged.select("doc_id", F.coalesce("first", "doc_id").alias("first"))
@@ -321,3 +322,18 @@ def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", ngram: int =
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY node),
+k AS (SELECT e.a AS node, count(DISTINCT y.text) FILTER (y.text <> x.text) AS n_links FROM e JOIN documents x ON x.doc_id = e.a JOIN documents y ON y.doc_id = e.b GROUP BY e.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id)::BIGINT AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id LEFT JOIN k ON k.node = d.doc_id
+"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import batched, column, materialize, small_batches, table
 
 #: Most labelled rows the word list of toxic language is learned from; most documents the scorer is fitted on.
 LEXICON_DOCS, FIT_DOCS = 6000, 6000
@@ -229,16 +229,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     anchored by the labels (quality 0 or toxic 1: bad) where they exist. The posteriors then train the scorer on about
     fit_docs documents chosen by a hash of the id; it scores every document. Null and empty texts are rejected: they
     hold nothing to train on. Empty tables give no rows; without labels the heuristics stand alone. Labels that
-    repeat count once, the worst first; rows that repeat are judged alike.
+    repeat count once, the worst first; rows that repeat are judged alike. Very long texts are read whole, in time
+    linear in their length. Columns but those named are not read, so extra ones can't clash.
     """
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    small_batches(docs.sparkSession)
+    columns = [column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")]
     base, more = docs.select(*columns), [carry] if carry else []
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
     lexicon = frozenset(toxic_words(base, labels))
 
     def voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader(lexicon, slots=False)
-        for b in batches:
+        for b in batched(batches):
             out = [votes(statistics(t or ""), read(t or "")[0]) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "votes"])
 
@@ -252,19 +254,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
 
     def sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader(lexicon)
-        for b in batches:
+        for b in batched(batches):
             voted, slots = [], []
             for t in b.column(1).to_pylist():
                 s = statistics(t or "")
                 toxic, of_words = read(t or "")
                 voted.append(votes(s, toxic))
                 slots.append(slots_of(of_words, s, voted[-1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(voted, pa.string()), pa.array(slots, pa.list_(pa.int32()))], ["doc_id", "votes", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(voted, pa.string()), pa.array(slots, pa.list_(pa.int32()))], ["doc_id", "h", "votes", "slots"])
 
-    total = voted.count()
-    part = min(1.0, fit_docs / max(1, total))
-    chosen = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1)).limit(2 * fit_docs)
-    sampled = chosen.mapInArrow(sampling, "doc_id long, votes string, slots array<int>").join(gold, "doc_id", "left").toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
+    # the texts are read where they are; what they came to is ordered by hash and cut, so reruns choose the same
+    part = min(1.0, fit_docs / max(1, voted.count()))
+    chosen = base.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1))
+    taken = chosen.mapInArrow(sampling, "doc_id long, h long, votes string, slots array<int>").orderBy("h", "votes", "slots").limit(2 * fit_docs)
+    sampled = taken.join(gold, "doc_id", "left").toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     # a pattern with a label unseen so far falls back to the one without
     seen = zip(sampled.column("votes").to_pylist(), sampled.column("gold").to_pylist(), strict=True)
     target = np.array([posterior.get(v + (g or "-"), posterior.get(v + "-", 0.5)) for v, g in seen])
@@ -277,7 +280,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
         w = np.zeros(SLOTS, dtype=np.float32)
         w[sparse[0]] = sparse[1]
         read = WordReader(lexicon, (w != 0).tobytes())  # most slots weigh nothing, so most words have none to add
-        for b in batches:
+        for b in batched(batches):
             out = []
             for t in b.column(1).to_pylist():
                 s = statistics(t or "")
@@ -287,7 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
                 out.append((v, posterior.get(v + "-", 0.5), score, bool(s["n"]) and score < REJECT))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))), *b.columns[2:]], ["doc_id", "votes", "p_bad", "score", "kept", *more])
 
-    return docs.select(*columns, *(F.col(c).cast("long").alias(c) for c in more)).mapInArrow(scoring, ", ".join(["doc_id long, votes string, p_bad double, score double, kept boolean", *(f"{c} long" for c in more)]))
+    return docs.select(*columns, *(column(c).cast("long").alias(c) for c in more)).mapInArrow(scoring, ", ".join(["doc_id long, votes string, p_bad double, score double, kept boolean", *(f"{c} long" for c in more)]))
 
 
 def op8_quality_model(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, materialize, table
+from .common import bind, column, materialize, table
 
 #: Base rules: fewer words than this, or over half of them in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -198,9 +198,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
 
     labels (doc_id, quality 0/1) may cover any part of the documents; labels for an id twice count once, worst first;
     null labels do not count. Documents the base rules fail neither teach nor reach the learned list. Null or empty
-    texts fail the base rules. Rows that repeat are judged alike.
+    texts fail the base rules. Rows that repeat are judged alike; very long texts are read whole. Columns but the two
+    named are not read, so extra ones can't clash; an empty table gives no rows and no rules.
     """
-    counted = materialize(text_stats(docs, text_col).select(F.col(id_col).alias("doc_id"), "stats.*"), "stats")
+    read = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
+    counted = materialize(text_stats(read).select("doc_id", "stats.*"), "stats")
     bad = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("bad"))
     judged = with_stats(counted.withColumn("base_failed", base_failed()))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")

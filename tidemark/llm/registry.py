@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_jaccard_join": jaccard_join.OP1_SQL,
     "op2_mix": mixing.OP2_SQL,
     "op4_urls": urls.OP4_SQL,
     "op5_decontaminate": decontam.OP5_SQL,
+    "op9_suffix_array": suffix_array.OP9_SQL,
     "op10_suffix_tree": suffix_tree.OP10_SQL,
 }

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, small_batches, table
+from .common import batched, materialize, scratch, small_batches, table
 from .repeats import copy_classes, finish, in_bitmap, is_first, keyed, mark_repeats, runs_of, side, with_copies
 
 LENGTH, TUPLE = 400, 32
@@ -195,9 +195,10 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     flagged = with_copies(base, classes)
     alone = flagged.where(is_first())
     bytes_ = base.agg(F.sum(F.length("body"))).first()[0] or 0
-    with small_batches(docs.sparkSession):
-        spans = repeated_spans(alone.select("doc_id", "k1", "body"), bytes_, length, hot)
-        spans = materialize(spans.groupBy("doc_id", "k1").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        found = repeated_spans(alone.select("doc_id", "k1", "body"), bytes_, length, hot)
+        spans = keep(materialize(found.groupBy("doc_id", "k1").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans"))
     keys = spans.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k"))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("k1") == F.col("__k"))
     none = F.lit(None).cast("array<bigint>")
@@ -227,3 +228,19 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
 def op9_suffix_array(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+b AS (SELECT doc_id, hx, length(hx) // 2 AS n FROM t),
+w AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, hx, unnest(range(0, n - 399)) AS i FROM b WHERE n >= 400)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+fresh AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS starts FROM again),
+run AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM fresh),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM run GROUP BY doc_id, k),
+part AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS pz FROM span),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(hx, 2 * pz + 1, 2 * (a - pz)), '' ORDER BY a) AS kept FROM part JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN gone USING (doc_id)
+"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, small_batches, table
+from .common import batched, materialize, scratch, small_batches, table
 from .repeats import WordHashes, copy_classes, gram_hashes, in_bitmap, is_first, keyed, mark_repeats, side, with_copies, word_hashes
 
 #: Words of a repeated passage, where the trees end; words of the shortest prefix that partitions the suffixes.
@@ -148,9 +148,10 @@ def remove_passages(docs: DataFrame, id_col="doc_id", text_col="text", depth: in
     flagged = with_copies(base, copy_classes(base.select("doc_id", "k1", "k2")))
     firsts = flagged.where(is_first())
     bytes_ = base.agg(F.sum(F.length("body"))).first()[0] or 0
-    with small_batches(docs.sparkSession):
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
         found = later_windows(firsts.select("doc_id", "k1", "body"), bytes_, depth, prefix, group)
-        spans = materialize(found.groupBy("doc_id", "k1").agg(F.collect_list("pos").alias("pos")), "passages")
+        spans = keep(materialize(found.groupBy("doc_id", "k1").agg(F.collect_list("pos").alias("pos")), "passages"))
     keys = spans.select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k"))
     on = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("k1") == F.col("__k"))
     none = F.lit(None).cast("array<int>")
