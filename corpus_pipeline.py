@@ -69,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after all stages. What a stage wrote on its way goes when its result is written, and that when the
+    next one's is."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark) as keep:
+            new = keep(common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        common.discard(docs)
+        docs = new
     return docs
