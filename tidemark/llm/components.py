@@ -11,15 +11,21 @@ from .common import discard, materialize
 FILE_EDGES = 500_000
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges v -> u are stars: every v has one u, and no u is a v."""
+    ends = edges.groupBy(F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).cast("long").alias("down"), F.lit(1).alias("up")).distinct())
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint). node, component (smallest node reachable), one row per node that has an edge.
 
-    Alternates large-star and small-star steps until no edge changes: every step only takes minima per node (partial
+    Alternates large-star and small-star steps until only stars are left: every step only takes minima per node (partial
     aggregation) and joins them back, so a node of many edges is no bottleneck. Loops and repeated edges do no harm.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), "edges")
-    seen, files = None, 1 + now.count() // FILE_EDGES
-    while True:  # every round but the last lowers an edge, so there is a last one
+    while not _settled(now):  # every round lowers an edge, so there is a last one
+        files = 1 + now.count() // FILE_EDGES
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         # large star: neighbours above a node go under the least of its neighbourhood
@@ -28,11 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
         new = materialize(small.where("u < v").distinct().coalesce(files), "edges")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = new
-        if state == seen:
-            break
-        seen, files = state, 1 + state[0] // FILE_EDGES
     stars = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return stars.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

@@ -192,23 +192,33 @@ def fit_label_model(patterns: list[tuple[str, int]]) -> dict[str, float]:
 
 def fit_scorer(at: np.ndarray, sizes: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Weights of a logistic scorer with an L1 penalty, by accelerated proximal descent. at: the slots of all rows, one
-    after the other; sizes: how many each row has."""
+    after the other; sizes: how many each row has. Rows are summed in parts, so little is held beside them."""
     w, rows = np.zeros(SLOTS), len(sizes)
     if not rows:
         return w
-    doc = np.repeat(np.arange(rows, dtype=np.int32), sizes)
     in_docs = np.bincount(at, minlength=SLOTS)
     teaches = (in_docs >= RARE) & (in_docs <= COMMON * rows)
     teaches[:STAT_SLOTS] = True
-    at, doc = at[teaches[at]], doc[teaches[at]]
-    used, at = np.unique(at, return_inverse=True)
+    used = np.flatnonzero(teaches & (in_docs > 0))
+    place = np.full(SLOTS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    ends = np.cumsum(sizes)
+    parts = []  # (first row, places, row of each place) of some hundred rows
+    for first in range(0, rows, 500):
+        last = min(rows, first + 500)
+        own = place[at[ends[first] - sizes[first] : ends[last - 1]]]
+        row = np.repeat(np.arange(last - first, dtype=np.int32), sizes[first:last])
+        parts.append((first, own[own >= 0], row[own >= 0]))
     x, y, t = np.zeros(len(used)), np.zeros(len(used)), 1.0
-    step = 4 * rows / len(at)  # the mean squared norm of a row bounds the curvature
+    step = 4 * rows / sum(len(own) for _, own, _ in parts)  # the mean squared norm of a row bounds the curvature
     bias_free = used == 0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=y[at], minlength=rows), -30, 30)))
-        grad = np.bincount(at, weights=(p - target)[doc], minlength=len(used)) / rows
-        new = y - step * grad
+        grad = np.zeros(len(used))
+        for first, own, row in parts:
+            want = target[first : first + 500]
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=y[own], minlength=len(want)), -30, 30)))
+            grad += np.bincount(own, weights=(p - want)[row], minlength=len(used))
+        new = y - step * grad / rows
         new = np.where(bias_free, new, np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
@@ -272,7 +282,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     seen = zip(sampled.column("votes").to_pylist(), sampled.column("gold").to_pylist(), strict=True)
     target = np.array([posterior.get(v + (g or "-"), posterior.get(v + "-", 0.5)) for v, g in seen])
     slots = sampled.column("slots").combine_chunks()
+    del sampled
     weights = fit_scorer(slots.flatten().to_numpy(), slots.value_lengths().to_numpy(), target).astype(np.float32)
+    del slots
+    pa.default_memory_pool().release_unused()
     used = np.flatnonzero(weights)
     sparse = (used.astype(np.int32), weights[used])
 

@@ -153,6 +153,8 @@ def mark_repeats(firsts: DataFrame, values: Callable[[], Callable[[bytes], np.nd
         for bitmap_, part in zip(out, marks, strict=True):
             words = np.frombuffer(part, np.uint64)
             bitmap_[k * len(words) : (k + 1) * len(words)] = words
+    del marked
+    pa.default_memory_pool().release_unused()
     return out[0], out[1]
 
 
