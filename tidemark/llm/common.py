@@ -55,6 +55,7 @@ def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = -(-b.num_rows // parts)
         for k in range(0, b.num_rows, max(1, rows)):
             yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()  # the worker waits for other tasks, and must not hold what this one took
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
