@@ -12,6 +12,7 @@ from tidemark.functions.score import DAY
 from tidemark.functions.signals import CONFLICT, OPPOSING
 from tidemark.operators import cognition as C
 from tidemark.operators.ranking import RecallOptions
+from tidemark.streaming.capture import EVENT, read_events
 
 T0 = 1_700_000_000_000
 COLUMNS = "id string, kind string, content string, tags array<string>, source string, session_id string, workspace string, created_at long, updated_at long, access_count long, last_access_at long"
@@ -126,9 +127,29 @@ def test_store_forget_recall_status(spark, tmp_path):
 def test_batches_and_pruning(spark, tmp_path):
     m = Memory(spark, f"file://{tmp_path}/log", Config(ttl_days=10, max_entries=2, auto_evict=True, conflict_mode="auto"))
     rows = [("a", 0, "fact", "cache uses redis cluster", []), ("b", 1, "fact", "cache uses redis cluster", []), ("c", 2, "fact", "cache no longer uses redis cluster", []), ("d", 3, "generic", "password: hunter2", [])]
-    found = m.ingest(spark.createDataFrame(rows, "id string, ord long, kind string, content string, tags array<string>"), T0)
+    batch = spark.createDataFrame(rows, "id string, ord long, kind string, content string, tags array<string>")
+    found = m.ingest(batch, T0)
     assert {r.id: (r.status, r.target) for r in found.collect()} == {"a": ("written", None), "b": ("batch-duplicate", None), "c": ("conflict", "a"), "d": ("sensitive", None)}
+    by_two = Memory(spark, f"file://{tmp_path}/log2", Config(conflict_mode="auto")).ingest(batch, T0, most=2)
+    assert {r.id: (r.status, r.target) for r in by_two.collect()} == {r.id: (r.status, r.target) for r in found.collect()}
     assert m.conflicts().first().n == 1 and m.counts["ingest_conflict"] == 1
     m.store("one more entry of interest", T0 + 9 * DAY, "decision")
     assert sorted((r.id[:1], r.reason) for r in m.prune(T0 + 9 * DAY).collect())[0][1] == "evicted" and m.entries().count() == 2
     assert {r.reason for r in m.prune(T0 + 30 * DAY).collect()} == {"expired"} and m.entries().count() == 0
+
+
+def test_sources_fail_alone_and_streams_are_ingested(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Head\n\nThe gateway uses nginx and envoy.\n\nShort\n\nAlways run the tests before a release.")
+    (tmp_path / "s.jsonl").write_text('{"type":"user/message","data":{"content":[{"type":"text","text":" I prefer tea over coffee "}]}}\nnot json\n{"type":"user/message","data":{"content":"   "}}')
+    m = Memory(spark, f"file://{tmp_path}/log")
+    told = m.import_sources(T0, (f"file://{tmp_path}/a.md", f"file://{tmp_path}/missing.md"), (f"file://{tmp_path}/s.jsonl",))
+    assert [t["added"] > 0 for t in told] == [True, False, True] and told[1]["error"] and m.counts["errors"] == 1
+    before = m.size()
+    assert [t["added"] for t in m.import_sources(T0, (f"file://{tmp_path}/a.md",))] == [0] and m.size() == before
+    rows = [(i, T0 // 1000 + i, "session", "user", None, False, None, t) for i, t in enumerate(["remember to test the gateway", "hello there you", "always use tabs in makefiles"])]
+    events = spark.createDataFrame(rows, "event_seq long, s long, source string, role string, tool_name string, is_error boolean, workspace string, text string")
+    events.select("event_seq", F.timestamp_seconds("s").alias("ts"), *[f.name for f in EVENT.fields[2:]]).write.parquet(str(tmp_path / "in"))
+    m.capture(read_events(spark, str(tmp_path / "in")), str(tmp_path / "ck"), T0).awaitTermination(120)
+    assert m.size() == before + 2 and m.get("ev-00000000000000000000").first().content == "remember to test the gateway"
+    page = m.page("now", most=1)
+    assert "there are more" in page and page == m.page("now", most=1) and "there are more" not in m.page("now")

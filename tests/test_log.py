@@ -82,7 +82,8 @@ def test_encryption(spark):
     lines = spark.createDataFrame([(0, "é plain"), (1, "x" * 300)], "seq long, value string")
     sealed = crypto.encode_log(lines, key).cache()
     assert crypto.change_key(sealed, key, None).collect() == lines.collect()
-    assert [r.value for r in crypto.change_key(sealed, other, None).collect()] == [None, None]
+    with pytest.raises(Exception, match="does not open"):
+        crypto.change_key(sealed, other, None).collect()
     assert len({r.value for r in sealed.collect()} | {r.value for r in crypto.encode_log(lines, key).collect()}) > 2
     assert crypto.read_key_record(crypto.key_record(b"s"))["n"] == 16384 and crypto.read_key_record("{}") is None
     with pytest.raises(ValueError):
@@ -92,3 +93,24 @@ def test_encryption(spark):
 def test_config():
     c = Config(default_recall_limit=1000, infer_max_hops=0, fusion_mode="odd").clamped()
     assert (c.default_recall_limit, c.infer_max_hops, c.fusion_mode) == (100, 1, "interpolate")
+
+
+def test_log_file_is_read_in_splits(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(line(f"id{i % 300}", f"text {i} " + "x" * 200, T0 + i) for i in range(3000)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = L.read_log(spark, f"file://{path}").select("seq", "updated_at").orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.seq, r.updated_at) for r in rows] == [(i, T0 + i) for i in range(3000)]
+
+
+def test_lines_that_a_key_does_not_open_are_not_lost(spark):
+    lines = spark.createDataFrame([(0, "plain"), (1, None)], "seq long, value string")
+    one, two = bytes(range(32)), bytes(range(1, 33))
+    sealed = crypto.change_key(lines, None, one).cache()
+    assert [r.value for r in crypto.change_key(sealed, one, None).orderBy("seq").collect()] == ["plain", None]
+    with pytest.raises(Exception, match="does not open"):
+        crypto.change_key(sealed, two, one).collect()

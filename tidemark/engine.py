@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from .config import Config
 from .errors import EngineError
 from .functions.score import DAY
-from .functions.text import estimate_tokens
+from .functions.text import content_hash, estimate_tokens
 from .operators import cognition as C
 from .operators import graph as G
 from .operators import ranking as R
 from .operators import store as ST
-from .plans.tables import checkpointed, stamp
+from .plans.html import render
+from .plans.tables import checkpointed, ranked, stamp
 from .schema import ENTRY_COLUMNS, LOG, conflict_peers
 from .sources import log as L
+from .sources.documents import plan_import, session_text, split_document
+from .streaming.capture import capture_to
 
 #: Most changes of a kind, and edges of a side, that a diff shows; most chains that explain a hit.
 SHOWN, SHOWN_EDGES, SHOWN_CHAINS = 20, 10, 3
@@ -79,15 +82,24 @@ class Memory:
 
     # -- writing
 
-    def ingest(self, candidates: DataFrame, now: int) -> DataFrame:
-        """Writes one ordered batch (id, ord, kind, content, tags; others optional) and returns its statuses."""
-        c = self.config
+    def ingest(self, candidates: DataFrame, now: int, most: int = 10_000) -> DataFrame:
+        """Writes candidates (id, ord, kind, content, tags; others optional) in their order and returns their statuses.
+        More than `most` go in as successive batches, each of which sees what those before it wrote."""
         known = {"source": F.lit("auto"), "workspace": F.lit(None).cast("string")}
         rows = candidates.withColumns({k: v for k, v in known.items() if k not in candidates.columns})
-        fresh = ST.make_entries(rows, now, c.max_entry_chars, keep=["id", "ord"])
-        new = C.normalized(checkpointed(fresh), self.nfkc)
+        fresh = ST.make_entries(rows, now, self.config.max_entry_chars, keep=["id", "ord"])
+        placed = ranked(fresh, [], [F.col("ord"), F.col("id")], "__place")
+        told = None
+        for k in range(-(-placed.count() // most)):
+            found = self._ingest(placed.where(F.col("__place").between(k * most + 1, (k + 1) * most)).drop("__place"), now, most)
+            told = found if told is None else told.unionByName(found)
+        return told if told is not None else self.spark.createDataFrame([], C.STATUS)
+
+    def _ingest(self, batch: DataFrame, now: int, most: int) -> DataFrame:
+        c = self.config
+        new = C.normalized(checkpointed(batch), self.nfkc)
         library = C.normalized(checkpointed(L.live(self.log()).select(*ENTRY_COLUMNS)), self.nfkc)
-        found = checkpointed(C.ingest(new, library, now, c.dedup_window_ms, c.conflict_window_ms, c.supersede_mode == "auto", c.conflict_mode == "auto"))
+        found = checkpointed(C.ingest(new, library, now, c.dedup_window_ms, c.conflict_window_ms, c.supersede_mode == "auto", c.conflict_mode == "auto", most))
         self.put(C.ingest_writes(new, library, found, now))
         for r in found.groupBy("status").count().collect():
             self.counts[f"ingest_{r['status']}"] += r["count"]
@@ -146,8 +158,53 @@ class Memory:
             if (self.config.consolidation_mode if name == "reinforced" else self.config.distill_mode) == "auto":
                 self.put(checkpointed(rows.select(*ENTRY_COLUMNS)))
 
+    def import_sources(self, now: int, documents: tuple = (), sessions: tuple = ()) -> list[dict]:
+        """Reads Markdown documents and session logs (one JSON record a line), each by itself: one that fails is counted
+        and told, and the others go in. A report for each source: path, added, the plan's counts, error."""
+        told = []
+        for path, is_session in [*((p, False) for p in documents or self.config.import_sources), *((p, True) for p in sessions)]:
+            try:
+                if is_session:
+                    lines = self.spark.read.text(path).select(F.lit(path).alias("label"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+                    plan = plan_import(split_document(self.spark.createDataFrame([], "label string, text string")), session_text(lines), self._hashes(), now, self.config.max_entry_chars, self.nfkc)
+                else:
+                    text = self.spark.read.text(path, wholetext=True).select(F.lit(path).alias("label"), F.col("value").alias("text"))
+                    plan = plan_import(split_document(text), None, self._hashes(), now, self.config.max_entry_chars, self.nfkc)
+                lines = checkpointed(ST.insert_new(self.log(), checkpointed(plan[0])))
+                self._write(lines)
+                told.append({"path": path, "added": lines.count(), **plan[1].first().asDict(), "error": None})
+            except Exception as e:  # whatever is wrong with one source
+                self.counts["errors"] += 1
+                told.append({"path": path, "added": 0, "error": str(e)[:300]})
+        return told
+
+    def _hashes(self) -> DataFrame:
+        return L.live(self.log()).select(content_hash(F.col("content")).alias("content_hash"))
+
+    def capture(self, events: DataFrame, checkpoint: str, now: int):
+        """Starts a stream of events (EVENT) into the log: what is worth remembering goes through ingest(), one ordered
+        batch after the other. A batch that comes again after a failure finds its own entries there, as duplicates."""
+
+        def write(found: DataFrame, number: int) -> None:
+            if not found.isEmpty():
+                rows = found.select(F.format_string("ev-%020d", "event_seq").alias("id"), F.col("event_seq").alias("ord"), "kind", "content", "tags", "workspace")
+                self.ingest(checkpointed(rows), now)
+
+        return capture_to(events, write, checkpoint, self.config.capture_mode)
+
     # -- reading
 
+    def get(self, entry_id: str) -> DataFrame:
+        return L.live(self.log().where(F.col("id") == entry_id)).select(*ENTRY_COLUMNS)
+
+    def size(self) -> int:
+        return L.live(self.log()).count()
+
+    def page(self, generated_at: str, workspace: str | None = None, most: int | None = None) -> str:
+        """The page of all entries (or the `most` newest) that searches itself; it is made on the driver."""
+        entries = self.entries(workspace=workspace)
+        return render(entries, ST.summarize(entries).first().asDict(), self.timeline(), generated_at, most)
+
     def recall(self, query: str, now: int, options: R.RecallOptions | None = None, as_of: int | None = None, reinforce: bool = True, explain: bool = False, expand: bool = False) -> DataFrame:
         """rank, id, kind, content, tags, score, superseded, conflicts, cost; with explain why and the chains that
         support a hit, with expand the sources of distilled hits. Of two hits that contradict the newer comes first.

@@ -19,6 +19,10 @@ from ..plans.tables import checkpointed, ranked
 from ..schema import conflict_peers, is_superseded, superseded_by
 
 
+#: Decimals of their logarithm by which scores are compared: sums of the same parts in another order are ties.
+TIE = 9
+
+
 @dataclass(frozen=True)
 class RecallOptions:
     max_tokens: int = 800
@@ -297,7 +301,8 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
         rows = rows.withColumns({c: F.when(F.col("screened"), zero).otherwise(F.col(c)) for c in ("bm25", "fuzzy", "semantic")})
         # every line ranks the entries it knows; all lines are ranked in one pass that brings no line into one task
         each = F.explode(F.array(*[F.struct(F.lit(line).alias("line"), F.col(line).alias("value")) for line in LINES])).alias("e")
-        places = ranked(rows.select("id", each).select("id", "e.*").where("value > 0"), ["line"], [F.desc("value"), F.col("id")])
+        known = rows.select("id", each).select("id", "e.line", F.when(F.col("e.value") > 0, F.round(F.log("e.value"), TIE)).alias("value")).where("value is not null")
+        places = ranked(known, ["line"], [F.desc("value"), F.col("id")])
         shares = places.groupBy("id").agg(*[F.max(F.when(F.col("line") == line, 1 / (S.RRF_K + F.col("rank")))).alias(f"rrf_{line}") for line in LINES])
         rows = rows.join(shares, "id", "left")
         parts = {line: F.coalesce(f"rrf_{line}", zero) for line in LINES}
@@ -313,7 +318,7 @@ def recall(entries: DataFrame, query: str, now: int, options: RecallOptions | No
     hits = rows.where("score > 0").select("id", "score", "tags", "created_at", why.alias("why"), "cost")
     gone = hits.select(F.col("id"), F.explode(superseded_by(F.col("tags"))).alias("by")).join(hits.select(F.col("id").alias("by")), "by", "left_semi").select("id").distinct()
     standing = hits.join(gone, "id", "left_anti").withColumn("qid", F.lit("q"))
-    able = could_fit(standing, o.limit, o.max_tokens, [F.desc("score"), F.col("created_at"), F.col("id")])
+    able = could_fit(standing, o.limit, o.max_tokens, [F.round(F.log("score"), TIE).desc(), F.col("created_at"), F.col("id")])
     kept = fill_budget(able, o.limit, o.max_tokens)
     return kept.join(able, ["qid", "id"]).select("id", F.col("place").alias("rank"), "score", is_superseded(F.col("tags")).alias("superseded"), "why")
 

@@ -156,16 +156,6 @@ def r9_vector_topk(spark, sf_dir):
 QUESTION = "thntble eratin of the ndtion thwhst onreti"
 
 
-@query()
-def r2_recall(spark, sf_dir):
-    return R.recall(entries(spark, sf_dir), QUESTION, NOW, R.RecallOptions(limit=20, max_tokens=20_000), vector=True, index=_index(spark, sf_dir), nfkc=False).select("id", "rank", F.round("score", 6).alias("score"), "superseded")
-
-
-@query()
-def r11_recall_rrf(spark, sf_dir):
-    return R.recall(entries(spark, sf_dir), QUESTION, NOW, R.RecallOptions(limit=20, max_tokens=20_000, fusion="rrf"), vector=True, index=_index(spark, sf_dir), nfkc=False).select("id", "rank", F.round("score", 6).alias("score"), "why.*")
-
-
 _QF = ", ".join(f"'{f}'" for f in R.query_features(R.query_tokens(QUESTION)))
 
 
@@ -177,9 +167,74 @@ def r5_coverage(spark, sf_dir):
     return R.coverage(_index(spark, sf_dir), R.query_tokens(QUESTION)).select("id", F.round("coverage", 6).alias("coverage"))
 
 
-@query()
+_Q = R.query_tokens(QUESTION)
+_SAMPLE = ", ".join(f"'{f}'" for f in sorted(R.query_features(_Q), key=lambda x: (R.fnv(x, X.MINHASH_SEEDS[0]), x))[: S.SAMPLE])
+#: Coverage and screening of every document: features by document, their hashes by feature, minima by document.
+_COVER_SQL = f"""qf AS (SELECT unnest([{_QF}]) AS feature),
+ft AS (SELECT token, unnest(list_distinct(CASE WHEN length(token) >= 3 THEN list_concat(['^' || left(token, 2)], list_transform(range(1, length(token) - 1), lambda i: substr(token, i, 3)), [right(token, 2) || '$']) ELSE [token] END)) AS feature FROM df),
+ff AS (SELECT DISTINCT id, feature FROM post JOIN ft USING (token)),
+fh AS (SELECT feature, [{", ".join(_fnv_sql("feature", s) for s in X.MINHASH_SEEDS)}] AS h FROM (SELECT DISTINCT feature FROM ff)),
+mh AS (SELECT id, count(*) AS size, [{", ".join(f"min(h[{k + 1}])" for k in range(len(X.MINHASH_SEEDS)))}] AS m FROM ff JOIN fh USING (feature) GROUP BY id),
+hv AS (SELECT id, count(*) AS nb, count(*) FILTER (feature IN ({_SAMPLE})) AS ns FROM ff JOIN qf USING (feature) GROUP BY id),
+cv AS (SELECT dl.id AS id, coalesce(nb, 0) / {len(R.query_features(_Q))} AS coverage,
+    least(1.0, j * ({len(R.query_features(_Q))} + coalesce(size, 0)) / (1 + j) / {len(R.query_features(_Q))}) < {S.PRESCREEN} AND coalesce(ns, 0) / {S.SAMPLE} < {S.PRESCREEN} AS screened
+  FROM (SELECT dl.id, nb, ns, size, coalesce({" + ".join(f"(m[{k + 1}] = {min(R.fnv(f, s) for f in R.query_features(_Q))})::INT" for k, s in enumerate(X.MINHASH_SEEDS))}, 0) / 16 AS j FROM dl LEFT JOIN hv USING (id) LEFT JOIN mh USING (id)) AS dl)"""
+
+
+@query(f"WITH {TOKENS_SQL}, {_COVER_SQL} SELECT screened, count(*)::BIGINT AS n FROM cv GROUP BY screened")
 def r6_prescreen(spark, sf_dir):
-    return R.coverage(_index(spark, sf_dir), R.query_tokens(QUESTION)).groupBy("screened").agg(F.count(F.lit(1)).alias("n"))
+    return R.coverage(_index(spark, sf_dir), _Q).groupBy("screened").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TYPOS = ", ".join(f"'{v}'" for v in sorted({v for w in set(_Q) if w.isalpha() and len(w) >= 4 for v in X.fuzzy_variants(w) if len(v) >= 2 and v not in X.STOP_WORDS}))
+_SATURATED = "ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)))"
+#: Values of all lines for QUESTION.
+_LINES_SQL = f"""uq AS (SELECT token, count(*) AS qtf FROM (SELECT unnest([{", ".join(f"'{t}'" for t in _Q)}]) AS token) GROUP BY token),
+lb AS (SELECT post.id AS id, sum({_SATURATED} * qtf) AS bm25 FROM post JOIN uq USING (token) JOIN df USING (token) JOIN dl ON dl.id = post.id CROSS JOIN st GROUP BY post.id),
+lf AS (SELECT post.id AS id, sum(0.5 * {_SATURATED}) AS fuzzy FROM post JOIN df USING (token) JOIN dl ON dl.id = post.id CROSS JOIN st WHERE token IN ({_TYPOS}) GROUP BY post.id),
+vw AS (SELECT id, token, (1 + ln(tf)) * ln(1 + n / df) AS w FROM post JOIN df USING (token) CROSS JOIN st), vn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM vw GROUP BY id),
+vq AS (SELECT token, (1 + ln(qtf)) * CASE WHEN df IS NULL THEN ln(1 + n) ELSE ln(1 + n / df) END AS qw FROM uq LEFT JOIN df USING (token) CROSS JOIN st),
+vc AS (SELECT id, sum(w * qw) / any_value(norm) / (SELECT sqrt(sum(qw * qw)) FROM vq) AS c FROM vw JOIN vq USING (token) JOIN vn USING (id) GROUP BY id),
+lv AS (SELECT id, c AS vector FROM (SELECT *, row_number() OVER (ORDER BY c DESC, id) AS k FROM vc WHERE c > 0) WHERE k <= 24),
+ln0 AS (SELECT e.*, coalesce(bm25, 0.0) AS bm25, CASE WHEN coalesce(bm25, 0) > 0 THEN 0.0 ELSE coalesce(fuzzy, 0.0) END AS fuzzy, CASE WHEN coverage >= {S.COVERAGE} THEN coverage ELSE 0.0 END AS semantic, coalesce(vector, 0.0) AS vector, screened,
+    ({_DECAY}) * ({_HEAT}) * ({_SIG}) * CASE WHEN superseded THEN 0.5 ELSE 1.0 END AS base, greatest(1, ceil((cw + 2 * (length(says) - cw)) / 4.0))::BIGINT AS cost
+  FROM (SELECT *, length(says) - length(regexp_replace(says, '[A-Za-z0-9_]', '', 'g')) AS cw FROM (SELECT *, kind || ' ' || content AS says FROM entries)) e LEFT JOIN lb USING (id) LEFT JOIN lf USING (id) LEFT JOIN lv USING (id) LEFT JOIN cv USING (id))"""
+#: From scores sc (entry columns, base, cost, score): no hit whose successor is one, then the budget.
+_TAKE_SQL = """sn AS (SELECT * FROM sc WHERE score > 0), ok AS (SELECT * FROM sn WHERE NOT (superseded AND 'm-' || (split_part(id, '-', 2)::BIGINT + 1) IN (SELECT id FROM sn))),
+rn AS (SELECT *, row_number() OVER (ORDER BY round(ln(score), 9) DESC, created_at, id) AS k FROM ok),
+fold AS (SELECT 1 AS k, 1 AS taken, cost AS used, id AS got FROM rn WHERE k = 1
+    UNION ALL SELECT x.k, CASE WHEN fits THEN taken + 1 ELSE taken END, CASE WHEN fits THEN used + cost ELSE used END, CASE WHEN fits THEN x.id END
+    FROM (SELECT rn.k, rn.id, rn.cost, f.taken, f.used, f.taken < 20 AND f.used + rn.cost <= 20000 AS fits FROM fold f JOIN rn ON rn.k = f.k + 1) x),
+took AS (SELECT got AS id, taken::INT AS rank FROM fold WHERE got IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TOKENS_SQL}, {_COVER_SQL}, {_LINES_SQL}, sc AS (SELECT *, base * (CASE WHEN bm25 + fuzzy > 0 THEN bm25 + fuzzy ELSE {S.SEMANTIC_WEIGHT} * semantic END) + base * {S.VECTOR_WEIGHT} * vector AS score FROM ln0 WHERE NOT screened), {_TAKE_SQL}
+    SELECT id, rank, round(ln(score), 6) AS log_score, superseded FROM took JOIN sc USING (id)"""
+)
+def r2_recall(spark, sf_dir):
+    found = R.recall(entries(spark, sf_dir), QUESTION, NOW, R.RecallOptions(limit=20, max_tokens=20_000), vector=True, index=_index(spark, sf_dir), nfkc=False)
+    return found.select("id", "rank", F.round(F.log("score"), 6).alias("log_score"), "superseded")
+
+
+_RRF_LINES = ("bm25", "fuzzy", "semantic", "vector")
+
+
+@query(
+    f"""WITH RECURSIVE {TOKENS_SQL}, {_COVER_SQL}, {_LINES_SQL}, lz AS (SELECT * REPLACE (CASE WHEN screened THEN 0.0 ELSE bm25 END AS bm25, CASE WHEN screened THEN 0.0 ELSE fuzzy END AS fuzzy, CASE WHEN screened THEN 0.0 ELSE semantic END AS semantic) FROM ln0),
+    """
+    + ", ".join(f"k_{x} AS (SELECT id, 1 / (60 + row_number() OVER (ORDER BY round(ln({x}), 9) DESC, id)) AS s_{x} FROM lz WHERE {x} > 0)" for x in _RRF_LINES)
+    + ", sc AS (SELECT *, base * ("
+    + " + ".join(f"coalesce(s_{x}, 0)" for x in _RRF_LINES)
+    + ") AS score FROM lz "
+    + " ".join(f"LEFT JOIN k_{x} USING (id)" for x in _RRF_LINES)
+    + f"), {_TAKE_SQL} SELECT id, rank, round(ln(score), 6) AS log_score, "
+    + ", ".join(f"round(coalesce(s_{x}, 0.0), 9) AS {x}" for x in _RRF_LINES)
+    + " FROM took JOIN sc USING (id)"
+)
+def r11_recall_rrf(spark, sf_dir):
+    found = R.recall(entries(spark, sf_dir), QUESTION, NOW, R.RecallOptions(limit=20, max_tokens=20_000, fusion="rrf"), vector=True, index=_index(spark, sf_dir), nfkc=False)
+    return found.select("id", "rank", F.round(F.log("score"), 6).alias("log_score"), *[F.round(f"why.{x}", 9).alias(x) for x in _RRF_LINES])
 
 
 _VARIANTS = sorted({v for w in {t for t in R.query_tokens("stble ther")} for v in X.fuzzy_variants(w) if v not in X.STOP_WORDS})
@@ -332,6 +387,36 @@ def j7_near_duplicates(spark, sf_dir):
     return C.near_duplicates(e, e).withColumn("similarity", F.round("similarity", 6))
 
 
+def _told(word: str, kept: str, above: float) -> str:
+    """SQL of the most similar entry (of `kept`) of every fifth entry with a word before its text."""
+    return f"""WITH {ENTRIES_SQL}, t AS (SELECT id, kind, created_at, content, list_distinct({_tokens_sql("content")}) AS ts FROM entries WHERE {kept}),
+    c AS (SELECT 'n-' || id AS id, kind, '{word} ' || content AS content, list_distinct({_tokens_sql(f"'{word} ' || content")}) AS ts FROM entries WHERE split_part(id, '-', 2)::BIGINT % 5 < 3 AND split_part(id, '-', 2)::BIGINT % 50 < 5),
+    x AS (SELECT id, len(ts) AS n, unnest(ts) AS token FROM t), y AS (SELECT id, len(ts) AS n, unnest(ts) AS token FROM c),
+    far AS (SELECT y.id AS a, x.id AS b, count(*) / (any_value(y.n) + any_value(x.n) - count(*)) AS s FROM y JOIN x USING (token) GROUP BY ALL),
+    p AS (SELECT a, b, s FROM far JOIN c ON c.id = a JOIN t ON t.id = b WHERE greatest(length(c.content), length(t.content)) > 300 AND c.kind = t.kind
+      UNION ALL SELECT c.id, t.id, CASE WHEN greatest(length(c.content), length(t.content)) <= 300 THEN 1 - levenshtein(c.content, t.content) / greatest(length(c.content), length(t.content)) END FROM c JOIN t ON c.kind = t.kind WHERE greatest(length(c.content), length(t.content)) <= 300 AND least(length(c.content), length(t.content)) > 0),
+    r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, created_at, b) AS k FROM p JOIN t ON t.id = b WHERE s > {above})
+    SELECT a AS id, b AS target, round(s, 6) AS similarity FROM r WHERE k = 1"""
+
+
+def _retold(spark, sf_dir, word: str) -> tuple[DataFrame, DataFrame]:
+    e, n = entries(spark, sf_dir), F.substring_index("id", "-", -1).cast("long")
+    new = e.where((n % 5 < 3) & (n % 50 < 5)).withColumns({"content": F.concat(F.lit(f"{word} "), "content"), "id": F.concat(F.lit("n-"), "id")})
+    return C.normalized(new, nfkc=False), C.normalized(e, nfkc=False)
+
+
+@query(_told("now use", "true", C.REPLACES))
+def m3_supersede_targets(spark, sf_dir):
+    new, old = _retold(spark, sf_dir, "now use")
+    return C.supersede_targets(new, old, NOW, NOW).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_told("no longer", "NOT superseded", C.CONTRADICTS))
+def m4_contradictions(spark, sf_dir):
+    new, old = _retold(spark, sf_dir, "no longer")
+    return C.contradictions(new, old, NOW, NOW).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in G.SENSITIVE))
 def p9_sensitive(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(G.is_sensitive(F.lower("text"))).select("doc_id")
@@ -424,7 +509,18 @@ def r7_graph_line(spark, sf_dir):
     return GR.entity_line(GR.neighbors(edges, seeds, NOW), edges, e, NOW).withColumn("score", F.round("score", 6))
 
 
-@query()
+_AGE = float(GR.TAU)
+
+
+@query(
+    f"""WITH {EDGES_SQL}, seed AS (SELECT lower(r_name) AS e FROM region), act AS (SELECT src, relation, dst, occurred_at, CASE WHEN relation LIKE '%part of' THEN 0.95 ELSE 1.0 END AS c FROM edges WHERE invalid_at IS NULL AND dst NOT IN (SELECT e FROM seed)),
+    h1 AS (SELECT dst AS entity, c * 0.5 AS power, occurred_at AS oldest, src || chr(1) || relation || chr(1) || dst AS path, 1 AS hops FROM act JOIN (SELECT e FROM seed ORDER BY e LIMIT 16) ON src = e),
+    b1 AS (SELECT * FROM h1 ORDER BY round(ln(power), 9) DESC, entity, path LIMIT 16),
+    h2 AS (SELECT dst AS entity, power * c * 0.5 AS power, least(oldest, occurred_at) AS oldest, path || chr(2) || src || chr(1) || relation || chr(1) || dst AS path, 2 AS hops FROM b1 JOIN act ON act.src = b1.entity),
+    s AS (SELECT *, power * exp(-greatest(0, {NOW} - oldest) / {_AGE}) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(ln(score), 9) DESC, path) AS n FROM s)
+    SELECT entity AS terminal, round(score, 6) AS score, hops FROM best WHERE n = 1 ORDER BY round(ln(score), 9) DESC, entity LIMIT 16"""
+)
 def g8_infer_chains(spark, sf_dir):
     seeds = table(spark, sf_dir, "region").select(F.lower("r_name").alias("entity"))
     return GR.infer_chains(_edges(spark, sf_dir), seeds, NOW).select("terminal", F.round("score", 6).alias("score"), "hops")
@@ -481,3 +577,135 @@ def p5_tag_protocol(spark, sf_dir):
 @query(f"WITH {ENTRIES_SQL} SELECT id, CASE WHEN length(l) > 24 THEN substr(l, 1, 24) || '…' ELSE l END AS title FROM (SELECT id, trim(regexp_replace(coalesce(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1], ''), '\\s+', ' ', 'g')) AS l FROM entries)")
 def p19_diff_title(spark, sf_dir):
     return entries(spark, sf_dir).select("id", X.diff_title(F.col("content")).alias("title"))
+
+
+# -- one query more for operators that only take part in others
+
+_WORDS = ("记住 ", "never ", "I prefer ", "now use ", "不再 ", "no longer ", "must always ", "plain ")
+_SAYS = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_WORDS)) + " END || left(text, 200)"
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    """Beginnings of the documents after words that carry a meaning."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(word, F.substring("text", 1, 200)).alias("says"))
+
+
+def _has_sql(terms) -> str:
+    return "(" + " OR ".join(f"contains(lower(says), '{t.replace(chr(39), chr(39) * 2)}')" for t in terms) + ")"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_SAYS} AS says FROM documents) SELECT doc_id, CASE WHEN {_has_sql(G.INSTRUCTION)} THEN 'instruction' WHEN {_has_sql(G.PREFERENCE)} THEN 'preference' ELSE 'generic' END AS kind,
+    {_has_sql(G.OPPOSING)} AS opposing, {_has_sql(G.CONFLICT)} AS conflicting, {_has_sql(G.PREFERENCE)} AS likes FROM d"""
+)
+def p10_signals(spark, sf_dir):
+    low = F.lower("says")
+    return _said(spark, sf_dir).select("doc_id", G.infer_kind(F.col("says")).alias("kind"), G.has(low, G.OPPOSING).alias("opposing"), G.has(low, G.CONFLICT).alias("conflicting"), G.has(low, G.PREFERENCE).alias("likes"))
+
+
+_OUTPUT = "CASE doc_id % 4 WHEN 0 THEN 'done: ' WHEN 1 THEN 'it took 3s, 耗时 ' WHEN 2 THEN 'see ' ELSE 'Error ' END || text"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_OUTPUT} AS t FROM documents), x AS (SELECT *, lower(trim(t)) AS low FROM d)
+    SELECT doc_id, 'run 执行结果: ' || left(trim(t), 300) AS content FROM x WHERE length(t) BETWEEN 6 AND 2000 AND NOT ({" OR ".join(f"regexp_matches(lower(t), '{p.replace(chr(39), chr(39) * 2)}')" for p in G.SENSITIVE)})
+      AND ({" OR ".join(f"starts_with(low, '{w}')" for w in G.CONCLUSIVE_START)} OR {" OR ".join(f"contains(left(low, 60), '{w}')" for w in G.CONCLUSIVE)})"""
+)
+def m10_capture_tool(spark, sf_dir):
+    begins = F.when(F.col("doc_id") % 4 == 0, "done: ").when(F.col("doc_id") % 4 == 1, "it took 3s, 耗时 ").when(F.col("doc_id") % 4 == 2, "see ").otherwise("Error ")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(begins, "text").alias("t"))
+    return rows.select("doc_id", G.capture_tool(F.lit("run"), F.col("t"), F.lower("t")).alias("c")).where("c is not null").select("doc_id", "c.content")
+
+
+@query("SELECT substr(sha256(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), 1, 16) AS id, left(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 100) AS content, 'a,' || lang AS tags FROM documents")
+def m1_make_entries(spark, sf_dir):
+    tags = F.array(F.lit(" a "), F.lit(""), "lang", F.lit("a"))
+    rows = table(spark, sf_dir, "documents").select(F.lit("fact").alias("kind"), F.col("text").alias("content"), tags.alias("tags"), F.lit("auto").alias("source"))
+    return ST.make_entries(rows, NOW, 100).select("id", "content", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT token, df::BIGINT AS df FROM df")
+def f5_tokens_of_normalized_text(spark, sf_dir):
+    return R.build_index(entries(spark, sf_dir), nfkc=True).df
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, p AS (SELECT id AS older_id, string_split(t, ':')[2] AS newer_id FROM (SELECT id, unnest(tags) AS t FROM entries) WHERE t LIKE 'superseded-by:%'), q AS (SELECT older_id, newer_id, e.updated_at FROM p JOIN entries e ON e.id = newer_id)
+    SELECT newer_id, older_id, updated_at, (SELECT count(*) FROM q)::BIGINT AS n FROM q ORDER BY updated_at DESC, newer_id LIMIT 3"""
+)
+def a5_conflict_summary(spark, sf_dir):
+    turned = entries(spark, sf_dir).withColumn("tags", F.transform("tags", lambda t: F.regexp_replace(t, "^superseded-by:", "conflict-of:")))
+    return C.summarize_conflict_pairs(turned)
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, x AS (SELECT id FROM entries WHERE {NOW} - {_TOUCH} > {390 * S.DAY}), v AS (SELECT *, ({_SIG}) * ({_HEAT}) AS value FROM entries WHERE kind <> 'instruction'),
+    o AS (SELECT id FROM v ORDER BY superseded DESC, value, id LIMIT (SELECT greatest(0, count(*) - 500) FROM entries))
+    SELECT id, 'expired' AS reason FROM x UNION ALL SELECT id, 'evicted' FROM o WHERE id NOT IN (SELECT id FROM x)"""
+)
+def c7_prune(spark, sf_dir):
+    return ST.prune(entries(spark, sf_dir), NOW, 390, 500)
+
+
+@query(f"WITH {LOG_SQL}, {LIVE_SQL.format(src='log')} SELECT 0::BIGINT AS lost, 0::BIGINT AS made, 0::BIGINT AS changed")
+def k6_verify_compact(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    return ST.verify_compact(rows, ST.compact(rows))
+
+
+_MADE_OF = "list_concat(tags, ['distilled-layer:' || CASE WHEN k % 20 = 0 THEN 'procedural' ELSE 'abstract' END, 'distilled-from:m-' || (k + 1) || ',m-x' || k || ',m-' || (k + 2)])"
+
+
+def _distilled(spark, sf_dir) -> DataFrame:
+    k = F.substring_index("id", "-", -1).cast("long")
+    name = lambda n: F.concat(F.lit("m-"), n.cast("string"))
+    layer = F.concat(F.lit("distilled-layer:"), F.when(k % 20 == 0, "procedural").otherwise("abstract"))
+    sources = F.concat(F.lit("distilled-from:"), F.concat_ws(",", name(k + 1), F.concat(F.lit("m-x"), k.cast("string")), name(k + 2)))
+    return entries(spark, sf_dir).withColumn("tags", F.when(k % 10 == 0, F.concat("tags", F.array(layer, sources))).otherwise(F.col("tags")))
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, e AS (SELECT id, split_part(id, '-', 2)::BIGINT AS k FROM entries), s AS (SELECT id, unnest(['m-' || (k + 1), 'm-x' || k, 'm-' || (k + 2)]) AS source_id, unnest([0, 1, 2]) AS place FROM e WHERE k % 10 = 0)
+    SELECT id, place::INT AS place, source_id FROM s WHERE source_id IN (SELECT id FROM entries)"""
+)
+def c4_expand_distilled(spark, sf_dir):
+    return C.expand_distilled(_distilled(spark, sf_dir)).select("id", F.col("place").cast("int").alias("place"), "source_id")
+
+
+@query(f"WITH {ENTRIES_SQL}, e AS (SELECT split_part(id, '-', 2)::BIGINT AS k FROM entries) SELECT count(*) FILTER (k % 10 = 0 AND k % 20 <> 0)::BIGINT AS abstract, count(*) FILTER (k % 20 = 0)::BIGINT AS procedural FROM e")
+def a13_layer_counts(spark, sf_dir):
+    return ST.layer_counts(_distilled(spark, sf_dir))
+
+
+_ASKED = ("africa", "asia", "nation_1", "nation_7", "customer000000003")
+
+
+@query(
+    f"""WITH {EDGES_SQL}, tk AS (SELECT src, unnest(list_distinct(regexp_extract_all(src, '[a-z0-9_]{{2,}}'))) AS t FROM (SELECT DISTINCT src FROM edges)), sz AS (SELECT src, count(*) AS size FROM tk GROUP BY src), hub AS (SELECT t FROM tk GROUP BY t HAVING count(*) <= 64),
+    sh AS (SELECT src, count(*) AS shared FROM tk WHERE t IN {_ASKED} AND t IN (SELECT t FROM hub) GROUP BY src) SELECT src AS entity, shared::BIGINT AS shared FROM sh JOIN sz USING (src) WHERE shared >= 2 OR size <= 2 ORDER BY shared DESC, src LIMIT 8"""
+)
+def g7_align(spark, sf_dir):
+    return GR.align(_edges(spark, sf_dir), list(_ASKED))
+
+
+@query(
+    f"""WITH {EDGES_SQL}, l AS (SELECT *, list_filter(string_split(ids, ','), lambda x: x <> 'n-3') AS kept, list_contains(string_split(ids, ','), 'n-3') AS had FROM edges)
+    SELECT src, relation, dst, coalesce(CASE WHEN had AND len(kept) = 0 THEN {NOW} ELSE invalid_at END, -1)::BIGINT AS invalid_at, array_to_string(kept, ',') AS ids FROM l WHERE NOT (had AND len(kept) = 0 AND invalid_at IS NOT NULL)"""
+)
+def g12_remove_entry(spark, sf_dir):
+    left = GR.remove_entry(_edges(spark, sf_dir), "n-3", NOW)
+    return left.select("src", "relation", "dst", F.coalesce("invalid_at", F.lit(-1).cast("long")).alias("invalid_at"), F.array_join("entry_ids", ",").alias("ids"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS source, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def st7_daily_counts(spark, sf_dir):
+    from .streaming.capture import daily_counts
+
+    rows = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"))
+    return daily_counts(rows).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "n")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, access_count + 1 AS access_count, {NOW}::BIGINT AS last_access_at, updated_at FROM entries WHERE kind = 'fact'")
+def k12_heat_rows(spark, sf_dir):
+    return ST.heat_rows(entries(spark, sf_dir).where("kind = 'fact'"), NOW).select("id", "access_count", "last_access_at", "updated_at")

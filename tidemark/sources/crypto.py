@@ -38,7 +38,8 @@ def encode_line(line: Column, key: bytes, iv: Column | None = None, aad: str = A
     """Envelope of a line. The IV is random for each line unless given (12 bytes); never reuse one with a key."""
     iv = F.substring(F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit(""))), 1, 12) if iv is None else iv
     sealed = F.aes_encrypt(line, F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), iv, F.lit(aad))
-    return F.to_json(F.struct(F.lit(1).alias("__enc__"), F.base64(F.substring(sealed, 1, 12)).alias("iv"), F.base64(sealed.substr(F.lit(13), F.length(sealed))).alias("ct")))
+    envelope = F.to_json(F.struct(F.lit(1).alias("__enc__"), F.base64(F.substring(sealed, 1, 12)).alias("iv"), F.base64(sealed.substr(F.lit(13), F.length(sealed))).alias("ct")))
+    return F.when(line.isNotNull(), envelope)
 
 
 def decode_line(line: Column, key: bytes, aad: str = AAD) -> Column:
@@ -57,8 +58,9 @@ def encode_log(lines: DataFrame, key: bytes) -> DataFrame:
 def change_key(lines: DataFrame, old: bytes | None, new: bytes | None) -> DataFrame:
     """Lines under another key: plain to sealed, sealed to plain, or from key to key; order and history are kept.
 
-    Lines that the old key does not open become null; the caller must refuse to replace a log by such lines.
+    A line that the old key does not open fails the job, so no log is replaced by lines that are lost.
     """
     plain = decode_line(F.col("value"), old) if old else F.col("value")
-    opened = lines.select("seq", plain.alias("value"))
+    unopened = F.raise_error(F.concat(F.lit("the key does not open line "), F.col("seq").cast("string"))).cast("string")
+    opened = lines.select("seq", F.when(plain.isNull() & F.col("value").isNotNull(), unopened).otherwise(plain).alias("value"))
     return encode_log(opened, new) if new else opened

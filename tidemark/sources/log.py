@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import diff_title
+from ..plans.tables import ranked
 from ..schema import ENTRY_COLUMNS, KINDS, LOG, SOURCES, SUPERSEDED_BY
 
 #: Buckets a timeline shows.
@@ -76,9 +77,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log in a file of JSON lines; its order is the order of the lines."""
-    text = spark.read.text(path, wholetext=True)
-    return parse_lines(text.select(F.posexplode(F.split("value", "\n")).alias("pos", "value")).select(F.col("pos").cast("long").alias("seq"), "value"))
+    """The log in a file of JSON lines; its order is the order of the lines. A file of any size is read in splits, whose
+    offsets give the order; lines are then numbered without a task that sees them all."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("nth")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *place)
+    return parse_lines(ranked(lines, [], [F.col("file"), F.col("offset"), F.col("nth")], "seq").select((F.col("seq") - 1).alias("seq"), "value"))
 
 
 def corrupt_lines(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
