@@ -82,6 +82,28 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("file_edges", [500_000, 40])
+def test_components_of_parts(spark, monkeypatch, file_edges):
+    """A graph of one part is contracted in one go, with no rounds of joins; parts are brought together by rounds."""
+    made, write = [], components.materialize
+    monkeypatch.setattr(components, "FILE_EDGES", file_edges)
+    monkeypatch.setattr(components, "materialize", lambda df, label: made.append(label) or write(df, label))
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(999, i) for i in range(200, 240)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(300, 400, (90, 2))]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    order = rng.permutation(len(edges)).tolist()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = components.components(spark.createDataFrame([edges[i] for i in order], "a long, b long")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(label) and {r.node: r.component for r in got} == label
+    assert len(made) == 2 if file_edges > len(edges) else len(made) > 2
+
+
 @pytest.mark.parametrize("hot", [50_000, 1])
 def test_suffix_array(docs, hot):
     rows, length = corpus(), 400
