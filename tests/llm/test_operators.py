@@ -104,6 +104,18 @@ def test_components_of_parts(spark, monkeypatch, file_edges):
     assert len(made) == 2 if file_edges > len(edges) else len(made) > 2
 
 
+def test_marks_reach_the_driver_packed(spark, monkeypatch):
+    frame, sizes = type(spark.range(1)), []
+    collect = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: sizes.append(out := collect(self)) or out)
+    bodies = spark.createDataFrame([(b"ab",), (b"bc",), (b"b",)], "body binary")
+    values = lambda: lambda body: np.unique(np.frombuffer(body, np.uint8).astype(np.uint64) << np.uint64(20))
+    twice, often = repeats.mark_repeats(bodies, values, 100, 2)
+    hashes = np.array([ord(x) << 20 for x in "abc"], np.uint64)
+    assert repeats.in_bitmap(twice, hashes).tolist() == repeats.in_bitmap(often, hashes).tolist() == [False, True, False]
+    assert sum(x.nbytes for x in sizes) < twice.nbytes // 50
+
+
 @pytest.mark.parametrize("hot", [50_000, 1])
 def test_suffix_array(docs, hot):
     rows, length = corpus(), 400
