@@ -10,6 +10,8 @@ from ..schema import KINDS, LOG
 
 BASE = 1_700_000_000_000
 NOW = BASE + 400 * DAY
+#: After every entry, whatever the table holds: what the SQL of the graph calls active was never made invalid.
+LAST = (1 << 63) - 1
 #: Moments in the month of the events table.
 T1, T2 = 1_704_067_200_000 + 10 * DAY, 1_704_067_200_000 + 20 * DAY
 
